@@ -51,3 +51,15 @@ class Staged:
 
 def stage(df: DataFrame) -> Staged:
     return Staged(df)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all cores where a scan has too few splits for costly work on each row.
+
+    A scan with at least twice as many splits as there are cores is left as it
+    is, so on large tables nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(4 * cores, *keys)
