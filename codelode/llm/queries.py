@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.llm import handwritten, syntax
+from codelode.llm import handwritten, quality, syntax, tokens
 from codelode.sources.tables import table
 
 
@@ -24,5 +24,17 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
     return syntax.syntax_rates(table(spark, folder, "file_info"), table(spark, folder, "file_analysis_results"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_layout, p4_found, p4_rates)}
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_ids(table(spark, folder, "documents"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.not_prose(table(spark, folder, "documents"))
+
+
+def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.scored(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_layout, p4_found, p4_rates, p7_ids, p9_found, p9_statistics)}
 SQL: dict[str, str] = {}
