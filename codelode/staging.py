@@ -40,6 +40,13 @@ class Staged:
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
+    @staticmethod
+    def of(table: "Staged", *columns: str) -> "Staged":
+        """The same files, read for some columns only."""
+        out = object.__new__(Staged)
+        out.spark, out.path, out.df = table.spark, table.path, table.df.select(*columns)
+        return out
+
     def count(self) -> int:
         return self.df.count()
 
