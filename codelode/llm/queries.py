@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.llm import handwritten, quality, syntax, tokens
+from codelode.llm import authors, handwritten, quality, syntax, tokens
 from codelode.sources.tables import table
 
 
@@ -24,6 +24,14 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
     return syntax.syntax_rates(table(spark, folder, "file_info"), table(spark, folder, "file_analysis_results"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return authors.same_person_pairs(table(spark, folder, "commits"))
+
+
+def p5_persons(spark: SparkSession, folder: str) -> DataFrame:
+    return authors.persons(table(spark, folder, "commits"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"))
 
@@ -36,5 +44,5 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scored(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_layout, p4_found, p4_rates, p7_ids, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_layout, p4_found, p4_rates, p5_found, p5_persons, p7_ids, p9_found, p9_statistics)}
 SQL: dict[str, str] = {}
