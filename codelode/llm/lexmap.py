@@ -73,8 +73,9 @@ def _scan(text: str, state: str, language: str) -> Effect:
                     i = r.end()
 
 
-def chunk_map(text: str, language: str) -> dict[str, Effect]:
-    return {s: _scan(text, s, language) for s in STATES[language]}
+def chunk_map(text: str, language: str, states: tuple[str, ...] | None = None) -> dict[str, Effect]:
+    """The map of a chunk, for all entry states or some of them."""
+    return {s: _scan(text, s, language) for s in states or STATES[language]}
 
 
 def combine(a: dict[str, Effect], b: dict[str, Effect]) -> dict[str, Effect]:

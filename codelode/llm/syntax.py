@@ -65,7 +65,8 @@ def judge(text: str, ending: str, mapped: str | None = None) -> str | None:
     if mapped is None and not (language == "script" and _MARKUP.search(text)):
         whole = None
         for chunk in lexmap.cut(text):
-            m = lexmap.chunk_map(chunk, language)
+            # a text begins in code, so its first chunk needs that entry only
+            m = lexmap.chunk_map(chunk, language, (lexmap.CODE,) if whole is None else None)
             whole = m if whole is None else lexmap.combine(whole, m)
         mapped = lexmap.verdict(whole)
     if mapped and language == "script":
