@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.llm import authors, handwritten, quality, syntax, tokens
+from codelode.llm import authors, handwritten, leaks, quality, syntax, tokens
 from codelode.sources.tables import table
 
 
@@ -36,6 +36,14 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def p8_items(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leak_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.not_prose(table(spark, folder, "documents"))
 
@@ -44,5 +52,5 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scored(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_layout, p4_found, p4_rates, p5_found, p5_persons, p7_ids, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_layout, p4_found, p4_rates, p5_found, p5_persons, p7_ids, p8_found, p8_items, p9_found, p9_statistics)}
 SQL: dict[str, str] = {}
