@@ -1 +1 @@
-
+"""Column functions: texts, paths, predicates and rules."""

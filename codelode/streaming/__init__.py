@@ -1 +1 @@
-
+"""Structured Streaming: continuous import of test reports and commits."""
