@@ -77,7 +77,7 @@ def directory(path: Column) -> Column:
 
 
 def csv_names(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def subject(message: Column) -> Column:
@@ -105,7 +105,7 @@ def sanitised(text: Column) -> Column:
 
 def human_size(n: Column) -> Column:
     """Bytes in units of 1024 with two decimals."""
-    unit = F.least(F.floor(F.log(F.lit(1024.0), F.greatest(n, F.lit(1)))), F.lit(3)).cast("int")
+    unit = F.least(F.floor(F.log(1024.0, F.greatest(n, F.lit(1)))), F.lit(3)).cast("int")
     units = F.array(F.lit("B"), F.lit("KB"), F.lit("MB"), F.lit("GB"))
     return F.concat(F.round(n / F.pow(F.lit(1024.0), unit), 2).cast("string"), F.lit(" "), F.element_at(units, unit + 1))
 

@@ -11,7 +11,7 @@ from codelode.functions import predicates as P
 
 def commands(text: Column) -> Column:
     """Trimmed lines that run tests and are no comments, in order."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda l: F.trim(l))
     pattern = "(?i)" + "|".join(f"(?:{p})" for p in K.TEST_COMMANDS)
     return F.filter(lines, lambda l: ~F.startswith(l, F.lit("#")) & l.rlike(pattern))
 

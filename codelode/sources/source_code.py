@@ -80,7 +80,7 @@ _FUNCTION = re.compile(rf"\bfunction\s*\*?\s*({_NAME})\s*\(")
 _ARROW = re.compile(rf"\b(?:const|let|var)\s+({_NAME})\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^()]*\)|{_NAME})\s*(?::[^=\n]+)?=>")
 _CLASS = re.compile(rf"\bclass\s+({_NAME})")
 _INTERFACE = re.compile(rf"\binterface\s+({_NAME})")
-_METHOD = re.compile(rf"(?m)^\s*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*\*?\s*(#?{_NAME})\s*\([^()]*\)\s*(?::[^{{;\n]+)?\{{")
+_METHOD = re.compile(rf"(?:(?<=[{{}};\n]))\s*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*\*?\s*(#?{_NAME})\s*\([^()]*\)\s*(?::[^{{;\n]+)?\{{")
 _NO_METHOD = frozenset("if for while switch catch function return".split())
 _CALL = re.compile(rf"\b({_NAME})\s*\(")
 _NO_CALL = _NO_METHOD | frozenset("constructor super typeof await async import".split())
