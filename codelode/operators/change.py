@@ -24,7 +24,8 @@ def changed_symbols(changed: DataFrame, symbols: DataFrame) -> DataFrame:
     gone = changed.where(moved).select(F.col("old_path").alias("path"), F.lit("deleted").alias("change_type"))
     new = changed.where(moved).select("path", F.lit("added").alias("change_type"))
     found = plain.unionByName(gone).unionByName(new).distinct().join(symbols.select("path", "name", "symbol_type"), "path")
-    return found.withColumn("is_public", P.is_public_symbol(F.col("name"), F.col("symbol_type"))).distinct()
+    public = P.is_public_symbol(F.col("name"), F.col("symbol_type"))
+    return found.select("path", "name", "symbol_type", "change_type", public.alias("is_public")).distinct()
 
 
 def affected_endpoints(endpoints: DataFrame, changed: DataFrame, symbols: DataFrame) -> DataFrame:

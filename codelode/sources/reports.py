@@ -35,7 +35,7 @@ def junit_cases(reports: DataFrame) -> DataFrame:
     body = F.regexp_replace(F.col("content"), r"^\s*<\?xml[^>]*\?>", "")
     many = F.from_xml(body, f"testsuite array<{_SUITE}>")
     one = F.array(F.from_xml(body, f"_name string, testcase array<{_CASE}>"))
-    suites = F.when(F.trim(body).rlike(r"^<testsuites[\s>]"), many["testsuite"]).otherwise(one)
+    suites = F.when(body.rlike(r"^\s*<testsuites[\s>]"), many["testsuite"]).otherwise(one)
     s = xml.select("report_id", F.explode(suites).alias("s")).select("report_id", F.coalesce("s._name", F.lit("unknown")).alias("suite_name"), F.explode("s.testcase").alias("c"))
     # an empty element is read as an array of one null
     has = lambda k: F.coalesce(F.size(f"c.{k}") > 0, F.lit(False))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from codelode.staging import stage
 
 
 def write_snapshot(tables: dict[str, DataFrame], folder: str) -> None:
@@ -14,7 +17,10 @@ def write_snapshot(tables: dict[str, DataFrame], folder: str) -> None:
 
 def read_snapshot(spark: SparkSession, folder: str, name: str, run: str | None = None) -> DataFrame:
     """A table of the folder; a run reads its partition only."""
-    df = spark.read.parquet(f"{folder}/{name}")
+    found = spark.read.parquet(f"{folder}/{name}").schema
+    # ids are texts, also where they look like numbers in the names of partitions
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "analysis_run_id" else f.dataType) for f in found])
+    df = spark.read.schema(schema).parquet(f"{folder}/{name}")
     return df if run is None else df.where(F.col("analysis_run_id") == run)
 
 
@@ -25,8 +31,6 @@ def append_new(incoming: DataFrame, path: str, keys: list[str]) -> int:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         rows = rows.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    from codelode.staging import stage
-
     new = stage(rows)
     n = new.count()
     if n:
