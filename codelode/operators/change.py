@@ -55,10 +55,15 @@ def risk(changed: DataFrame, n_endpoints: Column, n_public: Column, n_workflows:
     """
     path = F.col("path")
     lines = F.coalesce("additions", F.lit(0)) + F.coalesce("deletions", F.lit(0))
-    facts = changed.groupBy(*by).agg(
+    # one row for each path of a set first: no distinct count, and each path is looked at once
+    paths = changed.groupBy(*by, "path").agg(
+        F.max("language").alias("language"), F.sum(lines).alias("n_lines"),
         F.max(n_endpoints).alias("n_endpoints"), F.max(n_public).alias("n_public"), F.max(n_workflows).alias("n_workflows"),
+    )
+    facts = paths.groupBy(*by).agg(
+        F.max("n_endpoints").alias("n_endpoints"), F.max("n_public").alias("n_public"), F.max("n_workflows").alias("n_workflows"),
         F.bool_or(P.is_security_path(path)).alias("security"), F.bool_or(P.is_database_path(path)).alias("database"), F.bool_or(P.is_payment_path(path)).alias("payment"),
-        F.count_distinct("path").alias("n_files"), F.sum(lines).alias("n_lines"),
+        F.count("path").alias("n_files"), F.sum("n_lines").alias("n_lines"),
         F.bool_or(P.is_source_file(path, F.col("language"))).alias("source"), F.bool_or(P.is_changed_test(path)).alias("tests"),
     )
     signals = {

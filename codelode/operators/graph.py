@@ -9,6 +9,7 @@ end with an empty frontier or the depth, which is cut to MOST_DEPTH.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +34,28 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
 
-def reach(seeds: DataFrame, edges: DataFrame, depth: int, direction: str = "down") -> DataFrame:
+class Fixed(NamedTuple):
+    """Distinct edges written once, for all levels and directions that read them."""
+
+    df: DataFrame
+
+
+def fix(edges: DataFrame | Fixed) -> Fixed:
+    return edges if isinstance(edges, Fixed) else Fixed(stage(edges.select("src", "dst").distinct()).df)
+
+
+def fixed(edges: DataFrame | Fixed) -> DataFrame:
+    return fix(edges).df
+
+
+def reach(seeds: DataFrame, edges: DataFrame | Fixed, depth: int, direction: str = "down") -> DataFrame:
     """(seed, node, depth): nodes reached from each seed, with the least depth; the seed itself at 0.
 
     ``seeds`` has one column; ``edges`` has src and dst.
     """
     depth = min(max(depth, 1), MOST_DEPTH)
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
-    steps = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
+    steps = fixed(edges).select(F.col(a).alias("node"), F.col(b).alias("next"))
     seed = seeds.columns[0]
     found = [stage(seeds.select(F.col(seed).alias("seed"), F.col(seed).alias("node"), F.lit(0).alias("depth")).distinct())]
     for level in range(1, depth + 1):
@@ -52,34 +67,36 @@ def reach(seeds: DataFrame, edges: DataFrame, depth: int, direction: str = "down
             .join(seen, ["seed", "node"], "left_anti")
             .withColumn("depth", F.lit(level))
         )
-        t = stage(nxt)
-        if t.df.isEmpty():
+        t = stage(nxt, n=F.count(F.lit(1)))
+        if not t.seen["n"]:
             break
         found.append(t)
     return reduce(DataFrame.unionByName, [t.df for t in found])
 
 
-def reached_edges(seeds: DataFrame, edges: DataFrame, depth: int, direction: str = "down") -> DataFrame:
+def reached_edges(seeds: DataFrame, edges: DataFrame | Fixed, depth: int, direction: str = "down") -> DataFrame:
     """(seed, src, dst, depth): distinct edges within the depth, with the least depth at which each is taken."""
     depth = min(max(depth, 1), MOST_DEPTH)
+    edges = fix(edges)
     nodes = reach(seeds, edges, depth - 1 if depth > 1 else 1, direction).where(F.col("depth") < depth)
     near = "src" if direction == "down" else "dst"
     return (
-        edges.select("src", "dst").distinct()
+        edges.df
         .join(nodes.withColumnRenamed("node", near), near)
         .groupBy("seed", "src", "dst")
         .agg((F.min("depth") + 1).alias("depth"))
     )
 
 
-def blast_radius(seeds: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
+def blast_radius(seeds: DataFrame, edges: DataFrame | Fixed, depth: int = 5) -> DataFrame:
     """(seed, node, depth, bucket): everything that calls the seed, directly (1) or not (2)."""
     found = reach(seeds, edges, depth, "up").where(F.col("depth") > 0)
     return found.withColumn("bucket", F.least("depth", F.lit(2)))
 
 
-def impact(seeds: DataFrame, edges: DataFrame, depth: int = 3, most_nodes: int = 500) -> DataFrame:
+def impact(seeds: DataFrame, edges: DataFrame | Fixed, depth: int = 3, most_nodes: int = 500) -> DataFrame:
     """(seed, node, category, depth): callers before callees, each node in the first category that claims it."""
+    edges = fix(edges)
     parts = []
     for rank, (direction, far) in enumerate((("up", "caller"), ("down", "callee"))):
         r = reach(seeds, edges, depth, direction).where(F.col("depth") > 0)
@@ -100,8 +117,9 @@ def impact_summary(found: DataFrame) -> DataFrame:
     )
 
 
-def workflow(seeds: DataFrame, edges: DataFrame, depth: int = 5, most_nodes: int = 100, most_edges: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
+def workflow(seeds: DataFrame, edges: DataFrame | Fixed, depth: int = 5, most_nodes: int = 100, most_edges: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and a summary of the graph below each seed, cut in the order of depth and id."""
+    edges = fix(edges)
     found = reach(seeds, edges, depth)
     nodes = top_of(found, ["seed"], most_nodes, F.col("depth"), F.col("node"))
     taken = reached_edges(seeds, edges, depth)
@@ -116,9 +134,9 @@ def workflow(seeds: DataFrame, edges: DataFrame, depth: int = 5, most_nodes: int
     return nodes, cut, summary
 
 
-def tree_paths(seeds: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
+def tree_paths(seeds: DataFrame, edges: DataFrame | Fixed, depth: int = 3) -> DataFrame:
     """(seed, node, depth, path, again): calls unfolded from the seed; a node already on its path is shown once more and not opened."""
-    steps = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    steps = fixed(edges).select(F.col("src").alias("node"), F.col("dst").alias("next"))
     seed = seeds.columns[0]
     start = seeds.select(F.col(seed).alias("seed"), F.col(seed).alias("node"), F.lit(0).alias("depth"), F.array(seed).alias("path"), F.lit(False).alias("again"))
     levels = [stage(start)]
@@ -127,8 +145,8 @@ def tree_paths(seeds: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
         nxt = open_.join(steps, "node").select(
             "seed", F.col("next").alias("node"), F.lit(level).alias("depth"), F.concat("path", F.array("next")).alias("path"), F.array_contains("path", F.col("next")).alias("again")
         )
-        t = stage(nxt)
-        if t.df.isEmpty():
+        t = stage(nxt, n=F.count(F.lit(1)))
+        if not t.seen["n"]:
             break
         levels.append(t)
     return reduce(DataFrame.unionByName, [t.df for t in levels])

@@ -20,12 +20,17 @@ Defined results
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.staging import Staged, stage
 
 
+OPEN = "ptr is not null"
+
+
 def _nodes(df: DataFrame, id_col: str, parent_col: str, *carry: Column) -> DataFrame:
     kept = df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("ptr"), *carry).where("id is not null")
     extra = [c for c in kept.columns if c not in ("id", "ptr")]
@@ -43,12 +48,12 @@ def _round(u: DataFrame) -> DataFrame:
 def unending_chains(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     """(id, cycle_id) of the nodes on a cycle of parent links or below one."""
     links = _nodes(df.where(F.col(parent_col).isNotNull()), id_col, parent_col)
-    u = stage(links.withColumn("low", F.col("id")).withColumn("moved", F.lit(True)))
-    n = u.count()
+    u = stage(links.withColumn("low", F.col("id")).withColumn("moved", F.lit(True)), n=F.count(F.lit(1)))
+    n = u.seen["n"]
     while n:
-        nxt = stage(_round(u.df))
+        nxt = stage(_round(u.df), n=F.count(F.lit(1)))
         u.drop()
-        u, left = nxt, nxt.count()
+        u, left = nxt, nxt.seen["n"]
         if left == n:
             break
         n = left
@@ -76,41 +81,39 @@ def _cycles(u: Staged, n: int) -> DataFrame:
     return a.join(b, F.col("a.ptr") == F.col("b.id")).select("a.id", F.col("b.low").alias("cycle_id"))
 
 
-def _chains(df: DataFrame, id_col: str, parent_col: str, name_col: str) -> tuple[Staged, DataFrame]:
-    """All nodes with the ids and names from the root down, and the endless ones with their cycle."""
+def _chains(df: DataFrame, id_col: str, parent_col: str, name_col: str) -> tuple[DataFrame, DataFrame]:
+    """The resolved nodes with the ids and names from the root down, and the endless ones with their cycle.
+
+    Each round joins the open nodes with all and writes those only; what it
+    resolves becomes another part of the result.
+    """
     start = _nodes(df, id_col, parent_col, F.coalesce(F.col(name_col), F.lit("")).alias("name"))
-    s = stage(start.select("id", "ptr", F.array("id").alias("ids"), F.array("name").alias("names")))
-    left = s.df.where("ptr is not null").count()
+    there = start.select(F.col("id").alias("ptr"), F.lit(True).alias("there"))
+    # parents that are not in the table end the chain before the rounds begin, so these are inner joins,
+    # in which the few open nodes of late rounds are broadcast if they are small
+    nodes = start.join(there, "ptr", "left").withColumn("ptr", F.when(F.col("there"), F.col("ptr")))
+    n_open = F.count_if(F.expr(OPEN))
+    s = stage(nodes.select("id", "ptr", F.col("ptr").alias("parent"), F.array("id").alias("ids"), F.array("name").alias("names")), n=n_open)
+    done, open_, left = [s.df.where(f"not ({OPEN})")], s.df.where(OPEN), s.seen["n"]
     while left:
-        # resolved nodes pass by unchanged; only pointers that are still open are shuffled and joined
-        open_, done = s.df.where("ptr is not null"), s.df.where("ptr is null")
-        a, b = open_.alias("a"), s.df.alias("b")
-        none = F.array().cast("array<string>")
-        jumped = a.join(b, F.col("a.ptr") == F.col("b.id"), "left").select(
-            "a.id",
-            "b.ptr",
-            F.concat(F.coalesce("b.ids", none), "a.ids").alias("ids"),
-            F.concat(F.coalesce("b.names", none), "a.names").alias("names"),
-        )
-        nxt = stage(done.unionByName(jumped))
-        now = nxt.df.where("ptr is not null").count()
-        s.drop()
-        s = nxt
+        a, b = open_.alias("a"), reduce(DataFrame.unionByName, done, open_).alias("b")
+        joined = a.join(b, F.col("a.ptr") == F.col("b.id"))
+        jumped = stage(joined.select("a.id", "b.ptr", "a.parent", F.concat("b.ids", "a.ids").alias("ids"), F.concat("b.names", "a.names").alias("names")), n=n_open)
+        done.append(jumped.df.where(f"not ({OPEN})"))
+        open_, now = jumped.df.where(OPEN), jumped.seen["n"]
         if now == left:
             break
         left = now
-    endless = s.df.where("ptr is not null").select("id").withColumn("open", F.lit(True))
+    resolved = reduce(DataFrame.unionByName, done)
     if not left:
-        return s, s.df.select("id", F.col("id").alias("cycle_id")).where(F.lit(False))
-    links = start.select("id", "ptr").join(endless, "id", "left_semi")
-    u = stage(links.withColumn("low", F.col("id")).withColumn("moved", F.lit(True)))
-    return s, _cycles(u, left)
+        return resolved, resolved.select("id", F.col("id").alias("cycle_id")).where(F.lit(False))
+    links = open_.select("id", F.col("parent").alias("ptr"), F.col("id").alias("low"), F.lit(True).alias("moved"))
+    return resolved, _cycles(stage(links), left)
 
 
 def hierarchy(df: DataFrame, id_col: str, parent_col: str, name_col: str, separator: str = "/") -> DataFrame:
     """(id, path, depth, root_id, n_descendants, cycle_id) of every node."""
-    s, cycles = _chains(df, id_col, parent_col, name_col)
-    trees = s.df.where("ptr is null")
+    trees, cycles = _chains(df, id_col, parent_col, name_col)
     below = (
         trees.select(F.explode(F.slice("ids", 1, F.size("ids") - 1)).alias("id"))
         .groupBy("id")
@@ -129,8 +132,8 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, name_col: str, separa
 
 def descendants(df: DataFrame, id_col: str, parent_col: str, name_col: str) -> DataFrame:
     """(ancestor_id, descendant_id, distance) of every node and all nodes above it, cycles left out."""
-    s, _ = _chains(df, id_col, parent_col, name_col)
-    up = s.df.where("ptr is null").select("id", F.size("ids").alias("n"), F.posexplode("ids").alias("pos", "ancestor_id"))
+    trees, _ = _chains(df, id_col, parent_col, name_col)
+    up = trees.select("id", F.size("ids").alias("n"), F.posexplode("ids").alias("pos", "ancestor_id"))
     return up.where("pos < n - 1").select(
         "ancestor_id", F.col("id").alias("descendant_id"), (F.col("n") - 1 - F.col("pos")).alias("distance")
     )

@@ -39,17 +39,17 @@ def keyword(chunks: DataFrame, query: str, top_k: int = 10, where: Column | None
     need, phrases, out = query_terms(query)
     kept = chunks if where is None else chunks.where(where)
     low = F.lower("content")
-    for p in phrases:
-        kept = kept.where(low.contains(p))
-    toks = kept.select("chunk_id", F.filter(F.split(low, "[^a-z0-9]+"), lambda t: t != "").alias("toks"))
-    for w in need:
-        toks = toks.where(F.array_contains("toks", w))
+    for part in [*phrases, *need]:
+        kept = kept.where(low.contains(part))  # cheap, so texts without the words are never counted
+    times = lambda w: F.regexp_count(low, F.lit(rf"(?<![a-z0-9]){w}(?![a-z0-9])")).cast("double")
     for w in out:
-        toks = toks.where(~F.array_contains("toks", w))
-    tf = lambda w: F.size(F.filter("toks", lambda t: t == w)).cast("double")
-    total = sum((tf(w) / (tf(w) + 1) for w in need), F.lit(0.0))
-    score = F.round(total / (1 + F.ln(F.greatest(F.size("toks"), F.lit(1)).cast("double"))), 6)
-    return toks.select("chunk_id", score.alias("keyword_score")).where("keyword_score > 0").orderBy(F.desc("keyword_score"), "chunk_id").limit(min(top_k, MOST))
+        kept = kept.where(~low.contains(w) | (times(w) == 0))
+    n_words = F.regexp_count(low, F.lit("[a-z0-9]+")).cast("double")
+    counts = kept.select("chunk_id", F.array(*[times(w) for w in need]).cast("array<double>").alias("tf"), n_words.alias("n"))
+    total = F.aggregate("tf", F.lit(0.0), lambda acc, x: acc + x / (x + 1))
+    score = F.round(total / (1 + F.ln(F.greatest("n", F.lit(1.0)))), 6)
+    found = counts.where(~F.array_contains("tf", 0.0)).select("chunk_id", score.alias("keyword_score"))
+    return found.where("keyword_score > 0").orderBy(F.desc("keyword_score"), "chunk_id").limit(min(top_k, MOST))
 
 
 def weights(semantic_weight: float, keyword_weight: float) -> tuple[float, float]:

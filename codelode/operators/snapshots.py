@@ -44,8 +44,8 @@ def clean_name(c: Column) -> Column:
     return F.regexp_replace(c, r"(^[\s ]+)|([\s ]+$)", "")
 
 
-def assign_ordinals(keys: DataFrame, known: DataFrame | None = None) -> Staged:
-    """Distinct ``keys`` with a dense bigint ``ordinal``, written to the shared folder.
+def assign_ordinals(keys: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Distinct ``keys`` with a dense bigint ``ordinal``, from a table in the shared folder.
 
     Keys of ``known`` (an earlier result) keep their ordinals; new ones follow
     its largest, in key order.  The keys are range partitioned and sorted; the
@@ -71,9 +71,7 @@ def assign_ordinals(keys: DataFrame, known: DataFrame | None = None) -> Staged:
         .join(F.broadcast(table), "part")
         .select(*cols, (F.col("first") + row).alias("ordinal"))
     )
-    both = stage(out if known is None else known.select(*cols, "ordinal").unionByName(out))
-    placed.drop()
-    return both
+    return out if known is None else known.select(*cols, "ordinal").unionByName(out)
 
 
 # --- bitmaps -----------------------------------------------------------------------------------
@@ -242,7 +240,7 @@ def snapshot_changes(symbols: DataFrame, files: DataFrame, runs: DataFrame) -> D
         .drop("state")
     )
     facts = stage(keyed)
-    keys = assign_ordinals(facts.df.select("repository_id", "path", "name")).df
+    keys = assign_ordinals(facts.df.select("repository_id", "path", "name"))
     found = compare_snapshots(facts.df.join(keys, ["repository_id", "path", "name"]))
     later = numbered.select("owner", "seq", "analysis_run_id", "repository_id")
     return (

@@ -31,8 +31,8 @@ def append_new(incoming: DataFrame, path: str, keys: list[str]) -> int:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         rows = rows.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    new = stage(rows)
-    n = new.count()
+    new = stage(rows, n=F.count(F.lit(1)))
+    n = new.seen["n"]
     if n:
         new.df.write.mode("append").parquet(path)
     new.drop()

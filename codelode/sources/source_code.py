@@ -14,6 +14,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -103,7 +104,8 @@ def script_rows(text: str) -> list[Row]:
     """Rows of one JavaScript or TypeScript text: declarations, arrow functions, classes and their methods."""
     # literals and comments keep their length and line ends, so places stay true
     code = _BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    line = lambda i: text.count("\n", 0, i) + 1
+    ends = [m.start() for m in re.finditer("\n", text)]
+    line = lambda i: bisect_left(ends, i) + 1
     out: list[Row] = []
     spans: list[tuple[int, int, str]] = []
 

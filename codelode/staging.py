@@ -12,7 +12,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local_dir: str | None = None
 
@@ -31,20 +31,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Staged:
-    """A written table: ``df`` reads it, ``drop`` removes its files."""
+    """A written table: ``df`` reads it, ``drop`` removes its files.
 
-    def __init__(self, df: DataFrame):
+    Aggregates named in the call are computed as the table is written and stand
+    in ``seen``, so a loop that counts what is left needs no job of its own.
+    """
+
+    def __init__(self, df: DataFrame, **aggregates: Column):
         spark = df.sparkSession
+        noted = Observation()
+        if aggregates:
+            df = df.observe(noted, *[c.alias(k) for k, c in aggregates.items()])
         self.spark = spark
         self.path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
+        self.seen = noted.get if aggregates else {}
 
     @staticmethod
     def of(table: "Staged", *columns: str) -> "Staged":
         """The same files, read for some columns only."""
         out = object.__new__(Staged)
-        out.spark, out.path, out.df = table.spark, table.path, table.df.select(*columns)
+        out.spark, out.path, out.seen, out.df = table.spark, table.path, table.seen, table.df.select(*columns)
         return out
 
     def count(self) -> int:
@@ -56,8 +64,8 @@ class Staged:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame) -> Staged:
-    return Staged(df)
+def stage(df: DataFrame, **aggregates: Column) -> Staged:
+    return Staged(df, **aggregates)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -35,10 +35,10 @@ def test_differences(a, b):
 
 def test_ordinals_persist(spark):
     keys = spark.createDataFrame([("r", f"k{i}") for i in range(50)] * 2, "a string, b string")
-    first = S.assign_ordinals(keys).df
+    first = S.assign_ordinals(keys)
     old = {r.b: r.ordinal for r in first.collect()}
     assert sorted(old.values()) == list(range(50))
-    second = S.assign_ordinals(keys.union(spark.createDataFrame([("r", "a0")], "a string, b string")), first).df
+    second = S.assign_ordinals(keys.union(spark.createDataFrame([("r", "a0")], "a string, b string")), first)
     new = {r.b: r.ordinal for r in second.collect()}
     assert {k: new[k] for k in old} == old and new["a0"] == 50
 
