@@ -332,8 +332,8 @@ def components(edges: DataFrame) -> DataFrame:
         around = e.df.join(labels.df, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("low")).withColumnRenamed("a", "node")
         passed = labels.df.join(around, "node").select("node", F.least("label", "low").alias("label"), F.col("label").alias("was"))
         jump = labels.df.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        nxt = stage(passed.join(jump, "label").select("node", F.least("label", "next").alias("label"), "was"))
-        moved = nxt.df.where("label <> was").limit(1).count()
+        nxt = stage(passed.join(jump, "label").select("node", F.least("label", "next").alias("label"), "was"), moved=F.count_if(F.col("label") != F.col("was")))
+        moved = nxt.seen["moved"]
         labels.drop()
         labels = Staged.of(nxt, "node", "label")
         if not moved:
