@@ -20,8 +20,6 @@ Defined results
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,17 +92,19 @@ def _chains(df: DataFrame, id_col: str, parent_col: str, name_col: str) -> tuple
     nodes = start.join(there, "ptr", "left").withColumn("ptr", F.when(F.col("there"), F.col("ptr")))
     n_open = F.count_if(F.expr(OPEN))
     s = stage(nodes.select("id", "ptr", F.col("ptr").alias("parent"), F.array("id").alias("ids"), F.array("name").alias("names")), n=n_open)
-    done, open_, left = [s.df.where(f"not ({OPEN})")], s.df.where(OPEN), s.seen["n"]
+    parts, open_, left = [s], s.df.where(OPEN), s.seen["n"]
     while left:
-        a, b = open_.alias("a"), reduce(DataFrame.unionByName, done, open_).alias("b")
+        # a node stands open in the parts before the one that resolves it
+        done = Staged.together(parts).where(f"not ({OPEN})")
+        a, b = open_.alias("a"), done.unionByName(open_).alias("b")
         joined = a.join(b, F.col("a.ptr") == F.col("b.id"))
         jumped = stage(joined.select("a.id", "b.ptr", "a.parent", F.concat("b.ids", "a.ids").alias("ids"), F.concat("b.names", "a.names").alias("names")), n=n_open)
-        done.append(jumped.df.where(f"not ({OPEN})"))
+        parts.append(jumped)
         open_, now = jumped.df.where(OPEN), jumped.seen["n"]
         if now == left:
             break
         left = now
-    resolved = reduce(DataFrame.unionByName, done)
+    resolved = Staged.together(parts).where(f"not ({OPEN})")
     if not left:
         return resolved, resolved.select("id", F.col("id").alias("cycle_id")).where(F.lit(False))
     links = open_.select("id", F.col("parent").alias("ptr"), F.col("id").alias("low"), F.lit(True).alias("moved"))

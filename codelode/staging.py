@@ -55,6 +55,11 @@ class Staged:
         out.spark, out.path, out.seen, out.df = table.spark, table.path, table.seen, table.df.select(*columns)
         return out
 
+    @staticmethod
+    def together(tables: list["Staged"]) -> DataFrame:
+        """The rows of tables of one schema, as one scan."""
+        return tables[0].spark.read.schema(tables[0].df.schema).parquet(*[t.path for t in tables])
+
     def count(self) -> int:
         return self.df.count()
 
