@@ -53,10 +53,21 @@ AUTOMATIC = r"(?i)\[bot\]|(^|[-_. ])(bot|runner|mirror|daemon|automation)$"
 LEAST_SIMILARITY = 0.85
 #: A given name with so many different partners is established, not a slip.
 ESTABLISHED = 5
+#: A domain with fewer full names is not known to be an organisation's.
+LEAST_NAMES = 5
 
 _LETTERS = str.maketrans({"ß": "ss", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "æ": "ae", "Æ": "AE", "ð": "d", "þ": "th", "đ": "d", "œ": "oe", "ı": "i"})
 _UMLAUT = re.compile(r"([aou])e")
-_SHORT = {s: frozenset(g for g, forms in SHORT_FORMS.items() if s in forms.split()) for forms in SHORT_FORMS.values() for s in forms.split()}
+
+
+def _plain(word: str) -> str:
+    """A folded word with written-out umlauts joined, as in the tokens of names."""
+    return _UMLAUT.sub(r"\1", word)
+
+
+_SHORT = {
+    _plain(s): frozenset(_plain(g) for g, forms in SHORT_FORMS.items() if s in forms.split()) for forms in SHORT_FORMS.values() for s in forms.split()
+}
 
 
 def fold(text: str) -> str:
@@ -67,7 +78,7 @@ def fold(text: str) -> str:
 def name_tokens(name: str) -> list[str]:
     """Folded words of a name in sorted order, without notes in brackets; hyphens join."""
     text = fold(re.sub(r"\(.*?\)", " ", name)).replace("-", "").replace("'", "")
-    return sorted(_UMLAUT.sub(r"\1", w) for w in re.split(r"[^\w]+|_+", text) if w)
+    return sorted(_plain(w) for w in re.split(r"[^\w]+|_+", text) if w)
 
 
 def clean_address(address: str) -> tuple[str, str]:
@@ -167,7 +178,7 @@ def similarity(a: list[str], b: list[str]) -> float:
 
 def speaks_of(local: str, tokens: list[str]) -> bool:
     """Whether an address is made of this name."""
-    plain = re.sub(r"[^a-z]", "", _UMLAUT.sub(r"\1", local))
+    plain = re.sub(r"[^a-z]", "", _plain(local))
     for i, given in enumerate(tokens):
         rest = "".join(tokens[:i] + tokens[i + 1 :])
         for form in (given + rest, rest + given, given[:1] + rest, rest + given[:1]):
@@ -178,7 +189,7 @@ def speaks_of(local: str, tokens: list[str]) -> bool:
 
 def fits(local: str, tokens: list[str]) -> bool:
     """Whether a name, if only initials or parts of one, does not speak against an address."""
-    plain = re.sub(r"[^a-z]", "", _UMLAUT.sub(r"\1", local))
+    plain = re.sub(r"[^a-z]", "", _plain(local))
     return all(t in plain or t[:3] in plain or near(plain, t) or len(t) <= 2 and all(c in plain for c in t) for t in tokens) or speaks_of(local, tokens)
 
 
@@ -293,9 +304,9 @@ def links(nodes: DataFrame) -> DataFrame:
     # what a domain is: of an organisation, or of a mail service whose users also have other addresses
     spread_ = named.where("domain <> ''").groupBy("full").agg(F.min("domain").alias("d0"), F.max("domain").alias("d1"))
     domains = named.where("domain <> ''").select("full", "domain").distinct().join(spread_, "full").groupBy("domain").agg(
-        F.avg((F.col("d0") != F.col("d1")).cast("double")).alias("elsewhere")
+        F.avg((F.col("d0") != F.col("d1")).cast("double")).alias("elsewhere"), F.count(F.lit(1)).alias("n")
     )
-    org = owned.select("node", "domain").join(domains.where("elsewhere < 0.5"), "domain", "left_semi").select("node", F.col("domain").alias("org"))
+    org = owned.select("node", "domain").join(domains.where((F.col("elsewhere") < 0.5) & (F.col("n") >= LEAST_NAMES)), "domain", "left_semi").select("node", F.col("domain").alias("org"))
 
     # distinct full names with their organisation and their established parts
     words = named.select("full", F.explode(F.split("full", " ")).alias("w")).distinct()
