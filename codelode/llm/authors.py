@@ -65,9 +65,10 @@ def _plain(word: str) -> str:
     return _UMLAUT.sub(r"\1", word)
 
 
-_SHORT = {
-    _plain(s): frozenset(_plain(g) for g, forms in SHORT_FORMS.items() if s in forms.split()) for forms in SHORT_FORMS.values() for s in forms.split()
-}
+_SHORT: dict[str, frozenset[str]] = {}
+for _long, _forms in SHORT_FORMS.items():
+    for _form in _forms.split():
+        _SHORT[_plain(_form)] = _SHORT.get(_plain(_form), frozenset()) | {_plain(_long)}
 
 
 def fold(text: str) -> str:
