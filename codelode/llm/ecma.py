@@ -40,20 +40,29 @@ _RESERVED = frozenset(RESERVED)
 
 _NAME_START = r"A-Za-z_$ªµºÀ-ÖØ-öø-˿Ͱ-ͽͿ-῿‌-‍⁰-↏Ⰰ-⿯、-퟿豈-﷏ﷰ-�\U00010000-\U000EFFFF"
 _NAME = rf"[{_NAME_START}][{_NAME_START}0-9\u0300-\u036f]*"
-_NUMBER = re.compile(r"(?:0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[bB][01]+(?:_[01]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?|(?:[0-9]+(?:_[0-9]+)*)n|(?:[0-9]+(?:_[0-9]+)*\.?(?:[0-9]+(?:_[0-9]+)*)?|\.[0-9]+(?:_[0-9]+)*)(?:[eE][+-]?[0-9]+)?)\Z")
+_DIGITS = r"[0-9]+(?:_[0-9]+)*"
+_NUMBER = re.compile(
+    rf"(?<![\w$])(?:0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[bB][01]+(?:_[01]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?|{_DIGITS}n|(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?)(?![\w$])"
+)
+_LEFT_DIGIT = re.compile(r"(?<![\w$])[0-9]")
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
 _PIECE = re.compile(
     r"""(?P<c>//[^\n\u2028\u2029]*|/\*.*?\*/)"""
     r"""|(?P<s>"(?:[^"\\\n]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*')"""
     r"""|(?P<t>`(?:[^`\\$]|\\[\s\S]|\$(?!\{))*`)"""
-    r"""|(?P<n>(?<![\w$])(?:\.?[0-9](?:[eE][+-](?=[0-9])|[\w$.])*))"""
-    r"""|(?P<x>[`"'/#\\<@])""",
+    r"""|(?P<x>[`"'/#\\@])""",
     re.S,
 )
+#: The same inside braces, with elements, and both.
+_PIECES = {
+    (inside, jsx): re.compile(_PIECE.pattern + (r"|(?P<b>[{}])" if inside else "") + (r"|(?P<l><)" if jsx else ""), re.S) for inside in (False, True) for jsx in (False, True)
+}
 _WORD_BEFORE = re.compile(r"([A-Za-z_$][\w$]*)\s*\Z")
 _AFTER_WORD = frozenset("return typeof case do else in instanceof new void delete throw yield await of extends default".split())
 _TEMPLATE_TEXT = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
 _JSX_OPEN = re.compile(rf"<\s*(?:>|{_NAME}(?:[-.:][\w$]+)*)")
+_GENERIC = re.compile(r"\s*(?:,|extends\b)")
+_PRIVATE = re.compile(rf"#{_NAME}")
 _JSX_TEXT = re.compile(r"[^<{}>]*")
 _JSX_ATTR = re.compile(r"\s*(?:/\*.*?\*/\s*)*([A-Za-z_$][\w$:-]*)(\s*=\s*)?", re.S)
 _PLAIN = re.compile(rf"(?<![\w$])(?!(?:{'|'.join(RESERVED + SOFT)})(?![\w$])){_NAME}")
@@ -155,10 +164,7 @@ def _braces(text: str, i: int, out: list[str]) -> int:
 def _code(text: str, i: int, out: list[str], jsx: bool, inside: bool = False) -> int:
     """Append the text from ``i`` on without comments and literals; inside braces, up to the closing one."""
     depth = 0
-    if inside:
-        piece = re.compile(_PIECE.pattern + r"|(?P<b>[{}])", re.S)
-    else:
-        piece = _PIECE
+    piece = _PIECES[inside, jsx]
     while True:
         m = piece.search(text, i)
         if not m:
@@ -174,14 +180,6 @@ def _code(text: str, i: int, out: list[str], jsx: bool, inside: bool = False) ->
             out.append(" '")
         elif kind == "t":
             out.append(" `")
-        elif kind == "n":
-            if not _NUMBER.match(m[0]) and not (m[0].endswith(".") and _NUMBER.match(m[0][:-1])):
-                # 1..toString() and ranges of member names
-                head = re.match(r"[0-9]+\.(?=\.[A-Za-z_$])|[0-9]+(?:\.[0-9]+|\.\.)?(?=\.[A-Za-z_$])|[0-9]*\.?[0-9]*", m[0])[0]
-                if not head or head == m[0] or m[0][len(head)] != ".":
-                    raise Bad("number followed by a name")
-                i = m.start() + len(head)
-            out.append(" 0 ")
         elif kind == "b":
             if m[0] == "{":
                 depth += 1
@@ -190,6 +188,13 @@ def _code(text: str, i: int, out: list[str], jsx: bool, inside: bool = False) ->
             else:
                 depth -= 1
             out.append(m[0])
+        elif kind == "l":
+            follow = _JSX_OPEN.match(text, m.start()) if _starts_expression(out) else None
+            if follow and not _GENERIC.match(text, follow.end()):
+                out.append(" `")
+                i = _jsx(text, m.start(), out)
+            else:
+                out.append("<")
         else:
             c = m[0]
             if c == "`":
@@ -208,17 +213,10 @@ def _code(text: str, i: int, out: list[str], jsx: bool, inside: bool = False) ->
             elif c == "#":
                 if m.start() == 0 and text.startswith("#!"):
                     i = text.find("\n") if "\n" in text else len(text)
-                elif re.compile(rf"#{_NAME}").match(text, m.start()):
+                elif _PRIVATE.match(text, m.start()):
                     out.append(" #")
                 else:
                     raise Bad("unexpected character")
-            elif c == "<":
-                follow = _JSX_OPEN.match(text, m.start()) if jsx and _starts_expression(out) else None
-                if follow and not re.compile(r"\s*(?:,|extends\b)").match(text, follow.end()):
-                    out.append(" `")
-                    i = _jsx(text, m.start(), out)
-                else:
-                    out.append("<")
             elif c == "@":
                 out.append(" @ ")
             else:
@@ -235,7 +233,10 @@ def reduce_text(text: str, jsx: bool) -> str:
     if text.startswith("\ufeff"):
         text = text[1:]
     _code(text.replace("\r\n", "\n").replace("\r", "\n"), 0, out, jsx)
-    flat = _PLAIN.sub("a", "".join(out))
+    flat = _NUMBER.sub(" \x03 ", "".join(out))
+    if _LEFT_DIGIT.search(flat):
+        raise Bad("number followed by a name")
+    flat = _PLAIN.sub("a", flat).replace("\x03", "0")
     return _BLANKS.sub(" ", _SPACES.sub("\n", flat))
 
 
@@ -273,28 +274,34 @@ class Groups:
 GROUPS = Groups()
 
 
+def tokenise(flat: str) -> tuple[list[str], list[bool]]:
+    """Tokens, and whether each begins a line."""
+    tokens: list[str] = []
+    fresh_: list[bool] = []
+    fresh, at = False, 0
+    for m in _TOKEN.finditer(flat):
+        if m.start() != at:
+            raise Bad("unexpected character")
+        at = m.end()
+        x = m[0]
+        if x == "\n":
+            fresh = True
+        elif x[0] != " ":
+            tokens.append(x)
+            fresh_.append(fresh)
+            fresh = False
+    if at != len(flat):
+        raise Bad("unexpected character")
+    tokens.append("")
+    fresh_.append(True)
+    return tokens, fresh_
+
+
 class Reader:
     """Recursive descent over one flat token string."""
 
-    def __init__(self, flat: str, ts: bool):
-        self.t: list[str] = []
-        self.nl: list[bool] = []
-        fresh, at = False, 0
-        for m in _TOKEN.finditer(flat):
-            if m.start() != at:
-                raise Bad("unexpected character")
-            at = m.end()
-            x = m[0]
-            if x == "\n":
-                fresh = True
-            elif x[0] != " ":
-                self.t.append(x)
-                self.nl.append(fresh)
-                fresh = False
-        if at != len(flat):
-            raise Bad("unexpected character")
-        self.t.append("")
-        self.nl.append(True)
+    def __init__(self, tokens: tuple[list[str], list[bool]], ts: bool):
+        self.t, self.nl = tokens
         self.i, self.ts, self.flags = 0, ts, 0
 
     # tools
@@ -477,14 +484,13 @@ class Reader:
         if x == ">":
             self.i += 1
         elif x[:1] == ">":
-            # of a longer operator, one sign is left for the rest
-            self.t[self.i] = x[1:]
+            # of a longer operator, one sign is left for the rest; the list may be shared
+            self.t = [*self.t[: self.i], x[1:], *self.t[self.i + 1 :]]
         else:
             raise Bad("> expected")
 
     def type_args(self) -> None:
         saved = self.t
-        self.t = list(saved)
         try:
             self.need("<")
             self.type_()
@@ -646,7 +652,7 @@ class Reader:
                 if self.tok != "=>":
                     raise Bad("=> expected")
 
-            saved = list(self.t)
+            saved = self.t
             if not self.attempt(generic):
                 self.t = saved
                 return False
@@ -673,7 +679,7 @@ class Reader:
         if self.tok == "?" :
             self.i += 1
             at, flags = self.i, self.flags
-            saved = list(self.t)
+            saved = self.t
             try:
                 self.assign()
                 self.need(":")
@@ -1412,11 +1418,12 @@ ROLES = {
 def content_roles(bracket: str, flat: str, ts: bool) -> str:
     """The character that stands for a group with this content."""
     roles: dict[str, int] = {}
+    tokens = tokenise(flat)
     for role, rule, only_ts in ROLES[bracket]:
         if only_ts and not ts:
             continue
         try:
-            r = Reader(flat, ts)
+            r = Reader(tokens, ts)
             rule(r)
             roles[role] = 0 if role == "ref" else r.flags
         except (Bad, RecursionError, IndexError):
@@ -1429,14 +1436,16 @@ def content_roles(bracket: str, flat: str, ts: bool) -> str:
 @lru_cache(maxsize=50_000)
 def valid_top(flat: str, ts: bool) -> bool:
     try:
-        r = Reader(flat, ts)
+        r = Reader(tokenise(flat), ts)
         r.statements(True)
         return not r.flags & (RETURN | YIELD | BREAK | CONTINUE)
     except (Bad, RecursionError, IndexError):
         return False
 
 
-_CLOSE = {"(": ")", "[": "]", "{": "}"}
+#: A list that repeats an item is as valid as one that has it twice; a line end after a comma means nothing.
+_REPEATED = re.compile(r"([^,\n]{1,12},)\1{2,}")
+_COMMA_LINE = re.compile(r", ?\n ?")
 _INNERMOST = re.compile(r"\(([^()\[\]{}]*)\)|\[([^()\[\]{}]*)\]|\{([^()\[\]{}]*)\}")
 _BLANK_EDGE = " \n"
 #: A top level of more tokens than this is read in pieces that end at a blank line's statement.
@@ -1449,8 +1458,10 @@ def valid(text: str, ts: bool, jsx: bool) -> bool:
         flat = reduce_text(text, jsx)
 
         def group(m: re.Match) -> str:
-            bracket = m[0][0]
-            return content_roles(bracket, (m[1] or m[2] or m[3] or "").strip(" "), ts)
+            bracket, content = m[0][0], (m[1] or m[2] or m[3] or "").strip(" ")
+            if len(content) > 40:
+                content = _REPEATED.sub(r"\1\1", _COMMA_LINE.sub(",", content))
+            return content_roles(bracket, content, ts)
 
         n = 1
         while n:
