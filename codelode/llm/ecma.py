@@ -1414,13 +1414,44 @@ ROLES = {
 }
 
 
+#: Line ends before a word that no expression goes on with.
+_NEXT = re.compile(r"\n(?=(?:const|var|if|for|while|return|try|switch|throw|break|continue|debugger)\b)")
+
+
+@lru_cache(maxsize=100_000)
+def _piece_flags(flat: str, ts: bool) -> int:
+    """Flags of statements, -1 if they are none."""
+    try:
+        r = Reader(tokenise(flat), ts)
+        r.statements()
+        return r.flags
+    except (Bad, RecursionError, IndexError):
+        return -1
+
+
+def _block_flags(flat: str, ts: bool) -> int | None:
+    """Flags of a block whose pieces are all whole statements; None if they have to be read as one."""
+    flags = 0
+    for piece in _NEXT.split(flat):
+        f = _piece_flags(piece.strip(" "), ts)
+        if f < 0:
+            return None
+        flags |= f
+    return flags
+
+
 @lru_cache(maxsize=200_000)
 def content_roles(bracket: str, flat: str, ts: bool) -> str:
     """The character that stands for a group with this content."""
     roles: dict[str, int] = {}
     tokens = tokenise(flat)
+    flags = _block_flags(flat, ts) if bracket == "{" else None
+    if flags is not None:
+        roles["B"] = flags
+        if ts:
+            roles["S"] = flags
     for role, rule, only_ts in ROLES[bracket]:
-        if only_ts and not ts:
+        if role in roles or only_ts and not ts:
             continue
         try:
             r = Reader(tokens, ts)
