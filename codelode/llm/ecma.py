@@ -65,7 +65,8 @@ _GENERIC = re.compile(r"\s*(?:,|extends\b)")
 _PRIVATE = re.compile(rf"#{_NAME}")
 _JSX_TEXT = re.compile(r"[^<{}>]*")
 _JSX_ATTR = re.compile(r"\s*(?:/\*.*?\*/\s*)*([A-Za-z_$][\w$:-]*)(\s*=\s*)?", re.S)
-_PLAIN = re.compile(rf"(?<![\w$])(?!(?:{'|'.join(RESERVED + SOFT)})(?![\w$])){_NAME}")
+_WORD = re.compile(rf"(?<![\w$]){_NAME}")
+_KEPT = {w: w for w in RESERVED + SOFT}
 _SPACES = re.compile(r"[ \t\f\v\u00a0\ufeff]*[\n\u2028\u2029]\s*")
 _BLANKS = re.compile(r"[ \t\f\v\u00a0\ufeff\u2000-\u200a\u3000]+")
 _UNESCAPE = re.compile(r"\\u(?:\{[0-9a-fA-F]+\}|[0-9a-fA-F]{4})")
@@ -236,7 +237,8 @@ def reduce_text(text: str, jsx: bool) -> str:
     flat = _NUMBER.sub(" \x03 ", "".join(out))
     if _LEFT_DIGIT.search(flat):
         raise Bad("number followed by a name")
-    flat = _PLAIN.sub("a", flat).replace("\x03", "0")
+    kept = _KEPT.get
+    flat = _WORD.sub(lambda m: kept(m[0], "a"), flat).replace("\x03", "0")
     return _BLANKS.sub(" ", _SPACES.sub("\n", flat))
 
 
