@@ -1485,8 +1485,12 @@ _BLANK_EDGE = " \n"
 _TOP = re.compile(r"\n(?=(?:export|import|function|class|const|interface)\b)")
 
 
+#: Brackets nested more deeply are not judged: each level is one pass over what is left.
+MOST_DEPTH = 1_000
+
+
 def valid(text: str, ts: bool, jsx: bool) -> bool:
-    """Whether the text is valid JavaScript, or with ``ts`` TypeScript."""
+    """Whether the text is valid JavaScript, or with ``ts`` TypeScript; RecursionError if it is nested too deeply."""
     try:
         flat = reduce_text(text, jsx)
 
@@ -1496,12 +1500,15 @@ def valid(text: str, ts: bool, jsx: bool) -> bool:
                 content = _REPEATED.sub(r"\1\1", _COMMA_LINE.sub(",", content))
             return content_roles(bracket, content, ts)
 
-        n = 1
+        n, depth = 1, 0
         while n:
+            depth += 1
+            if depth > MOST_DEPTH:
+                raise RecursionError("nested too deeply")
             flat, n = _INNERMOST.subn(group, flat)
         if re.search(r"[()\[\]{}]", flat):
             return False
-    except (Bad, RecursionError):
+    except Bad:
         return False
     # statements that start a line with a word no expression goes on with are read one by one
     return all(valid_top(part.strip(_BLANK_EDGE), ts) for part in _TOP.split(flat))

@@ -99,6 +99,7 @@ def test_long_files_are_cut(spark, rows):
     assert rows(syntax.unparsable(files, spark.createDataFrame([], REPORTS))) == [("r", "open.js"), ("r", "quote.js")]
 
 
-def test_deep_nesting_is_no_crash(spark, rows):
-    files = spark.createDataFrame([("r", "deep.py", "(" * 5000 + ")" * 5000, "", ""), ("r", "deep.js", "[" * 20000 + "]" * 20000, "", "")], FILES)
-    syntax.unparsable(files, spark.createDataFrame([], REPORTS)).collect()
+def test_deep_nesting_has_no_verdict(spark, rows):
+    files = spark.createDataFrame([("r", "deep.py", "(" * 5000 + ")" * 5000, "", ""), ("r", "deep.js", "[" * 20000 + "]" * 20000, "", ""), ("r", "ok.js", "[" * 500 + "]" * 500, "", "")], FILES)
+    assert ("r", "ok.js") not in rows(syntax.unparsable(files, spark.createDataFrame([], REPORTS)))
+    assert syntax.judge("[" * 20000 + "]" * 20000, "js") == "unknown"
