@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import json
 import re
-import symtable
 import warnings
 from collections.abc import Iterator
 
@@ -40,7 +39,6 @@ SYNTAX_WORDS = (
     r"(?i)syntax|unterminated|never closed|unexpected (token|indent|unindent|end|eof|character|identifier|string|number)|"
     r"expected '|expected an indented|invalid (token|character|decimal|syntax)|unmatched|does not match any outer|unindent|missing parenthes"
 )
-_MISPLACED = re.compile(r"(?m)^(?:return|yield|await)\b|^\s*(?:break|continue)\b")
 _MARKUP = re.compile(r"</|/>")
 
 
@@ -52,10 +50,8 @@ def _language(path: str) -> str | None:
 def _python(text: str) -> str | None:
     text = text.removeprefix("﻿")
     try:
-        # the symbol table is made from the parsed text without code; some statements are refused only with code
-        symtable.symtable(text, "text", "exec")
-        if _MISPLACED.search(text):
-            compile(text, "text", "exec", dont_inherit=True)
+        # some statements are refused only when code is made
+        compile(text, "text", "exec", dont_inherit=True)
     except (SyntaxError, ValueError) as e:
         return f"syntax: {e.args[0] if e.args else e}"
     except (RecursionError, MemoryError):

@@ -103,3 +103,15 @@ def test_deep_nesting_has_no_verdict(spark, rows):
     files = spark.createDataFrame([("r", "deep.py", "(" * 5000 + ")" * 5000, "", ""), ("r", "deep.js", "[" * 20000 + "]" * 20000, "", ""), ("r", "ok.js", "[" * 500 + "]" * 500, "", "")], FILES)
     assert ("r", "ok.js") not in rows(syntax.unparsable(files, spark.createDataFrame([], REPORTS)))
     assert syntax.judge("[" * 20000 + "]" * 20000, "js") == "unknown"
+
+
+#: Texts that Python parses and refuses only when it makes code.
+NO_CODE = [
+    "if x:\n    return 1\n", "class A:\n    return 1\n", "def f():\n    await g()\n", "def f():\n    async for a in b:\n        pass\n", "def f():\n    async with a:\n        pass\n",
+    "x = await f()\n", "x = yield\n", "if x: break\n", "if x: pass\nelse: break\n", "a = *b\n", "*a, *b = c\n", "try:\n    pass\nexcept:\n    pass\nexcept E:\n    pass\n",
+]
+
+
+@pytest.mark.parametrize("text", NO_CODE)
+def test_python_without_code(text):
+    assert syntax.judge(text, "py").startswith("syntax")
