@@ -1200,6 +1200,8 @@ class Reader:
 
     def loop_body(self) -> None:
         before, self.flags = self.flags, 0
+        if self.tok == "function" or self.tok == "async" and self.peek() == "function" and not self.nl[self.i + 1]:
+            raise Bad("declaration in place of a statement")
         self.statement(False, declare=False)
         self.flags = before | self.flags & ~(BREAK | CONTINUE)
 
@@ -1223,6 +1225,8 @@ class Reader:
         elif x == "function" or x == "async" and self.peek() == "function" and not self.nl[self.i + 1]:
             self.function(named=True)
         elif x == "class" or x == "@" or self.ts and x == "abstract" and self.peek() == "class":
+            if not declare:
+                raise Bad("declaration in place of a statement")
             while self.eat("@"):
                 self.decorator()
             if self.tok == "export":
@@ -1481,7 +1485,7 @@ _REPEATED = re.compile(r"([^,\n]{1,12},)\1{2,}")
 _COMMA_LINE = re.compile(r", ?\n ?")
 _INNERMOST = re.compile(r"\(([^()\[\]{}]*)\)|\[([^()\[\]{}]*)\]|\{([^()\[\]{}]*)\}")
 _BLANK_EDGE = " \n"
-#: A top level of more tokens than this is read in pieces that end at a blank line's statement.
+#: Line ends before a word that mostly begins a statement; one that goes on over such a line makes its pieces invalid.
 _TOP = re.compile(r"\n(?=(?:export|import|function|class|const|interface)\b)")
 
 
@@ -1510,5 +1514,6 @@ def valid(text: str, ts: bool, jsx: bool) -> bool:
             return False
     except Bad:
         return False
-    # statements that start a line with a word no expression goes on with are read one by one
-    return all(valid_top(part.strip(_BLANK_EDGE), ts) for part in _TOP.split(flat))
+    # pieces that are all whole statements are as valid as the whole, which has to be read only if one of them is none
+    parts = _TOP.split(flat)
+    return all(valid_top(part.strip(_BLANK_EDGE), ts) for part in parts) or len(parts) > 1 and valid_top(flat.strip(_BLANK_EDGE), ts)

@@ -115,3 +115,15 @@ NO_CODE = [
 @pytest.mark.parametrize("text", NO_CODE)
 def test_python_without_code(text):
     assert syntax.judge(text, "py").startswith("syntax")
+
+
+GOES_ON = ["module.exports =\nfunction f() {}", "x = a ||\nfunction f() {}", "export default\nfunction f(){}", "export\nconst x = 1", "import a from 'b'\nx =\nclass {}\nconst y = 2"]
+
+
+def test_statements_go_on_over_lines():
+    for t in GOES_ON:
+        assert ecma.valid(t, False, True) and ecma.valid(t, True, False), t
+    for t in ("@A()\nclass X {}", "import a from 'b'\n@A({x: 1})\nexport class X {}\nconst y = 1", "export abstract\nclass A { abstract m(): void }", "x = y as\nconst"):
+        assert ecma.valid(t, True, False), t
+    for t in ("x =\nconst y = 1", "export\nfunction f( {", "if (x)\nclass A {}", "const f = 1\nreturn"):
+        assert not ecma.valid(t, False, True), t
