@@ -1,11 +1,12 @@
 """Source files that do not parse.
 
-Chunks of each file become lexer-state maps with bracket summaries (see
-``lexmap``), reduced associatively; a file whose brackets do not balance is
-rejected by its map alone.  Long files are cut into chunks that are read on
-different executors and reduced by file.  The balanced rest is parsed with
-local grammars: Python statements by the interpreter's own parser, JavaScript
-and TypeScript groups from the inside out (see ``ecma``).
+Chunks of JavaScript and TypeScript files become lexer-state maps with bracket
+summaries (see ``lexmap``), reduced associatively; a file whose brackets do not
+balance is rejected by its map alone.  Long files are cut into chunks that are
+read on different executors and reduced by file.  Maps know no markup, so
+scripts that hold some have none, whatever their length.  The rest is parsed by
+groups from the inside out (see ``ecma``).  Python has no maps: each text is
+compiled whole, in one task, by the interpreter's own parser.
 
 Defined results
 * The language is that of the path's ending (.py, .js, .jsx, .ts, .tsx, in any
@@ -32,7 +33,7 @@ from codelode.llm import ecma, lexmap
 from codelode.staging import spread
 
 ENDINGS = {"py": "Python", "js": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript"}
-#: Texts longer than this are cut and their chunks spread over the cluster.
+#: Scripts without markup that are longer than this are cut and their chunks spread over the cluster.
 LONG_CHARS = 1 << 20
 #: Wordings of parsers about a text; other failures are about machines, limits or files.
 SYNTAX_WORDS = (
@@ -63,18 +64,17 @@ def judge(text: str, ending: str, mapped: str | None = None) -> str | None:
     """What is wrong with the text, None if it is valid, ``unknown`` if that cannot be told."""
     if not text.strip():
         return None
-    language = "python" if ending == "py" else "script"
-    if mapped is None and not (language == "script" and _MARKUP.search(text)):
+    if ending == "py":
+        return _python(text)
+    if mapped is None and not _MARKUP.search(text):
         whole = None
         for chunk in lexmap.cut(text):
             # a text begins in code, so its first chunk needs that entry only
-            m = lexmap.chunk_map(chunk, language, (lexmap.CODE,) if whole is None else None)
+            m = lexmap.chunk_map(chunk, "script", (lexmap.CODE,) if whole is None else None)
             whole = m if whole is None else lexmap.combine(whole, m)
         mapped = lexmap.verdict(whole)
-    if mapped and language == "script":
+    if mapped:
         return f"syntax: {mapped}"
-    if ending == "py":
-        return _python(text)
     try:
         ok = ecma.valid(text, ending in ("ts", "tsx"), ending != "ts")
     except RecursionError:
@@ -99,7 +99,7 @@ def _map_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.to_pydict()
         maps = [
-            json.dumps(lexmap.chunk_map(t, "python" if e == "py" else "script")) for t, e in zip(rows["chunk"], rows["ending"])
+            json.dumps(lexmap.chunk_map(t, "script")) for t in rows["chunk"]
         ]
         yield pa.record_batch([batch.column("key"), batch.column("pos"), pa.array(maps, pa.string())], names=["key", "pos", "map"])
 
@@ -107,11 +107,11 @@ def _map_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.to_pydict()
-        for key, ending, text in zip(rows["key"], rows["ending"], rows["text"]):
+        for key, text in zip(rows["key"], rows["text"]):
             parts = lexmap.cut(text)
             yield pa.record_batch(
-                [pa.array([key] * len(parts), pa.int64()), pa.array([ending] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array(parts)],
-                names=["key", "ending", "pos", "chunk"],
+                [pa.array([key] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts)],
+                names=["key", "pos", "chunk"],
             )
 
 
@@ -129,10 +129,10 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def long_text_verdicts(long_files: DataFrame) -> DataFrame:
-    """(key, mapped) of long texts from the maps of their chunks, each chunk read on its own."""
+    """(key, mapped) of long scripts from the maps of their chunks, each chunk read on its own."""
     chunks = (
-        long_files.select("key", "ending", "text")
-        .mapInArrow(_cut_batches, "key long, ending string, pos int, chunk string")
+        long_files.select("key", "text")
+        .mapInArrow(_cut_batches, "key long, pos int, chunk string")
         .repartition("key", "pos")
         .mapInArrow(_map_batches, "key long, pos int, map string")
     )
@@ -150,7 +150,9 @@ def file_verdicts(files: DataFrame) -> DataFrame:
         F.col("path").isNotNull() & F.col("ending").isin(*ENDINGS)
     )
     schema = "repository_id string, path string, ending string, stored boolean, error string"
-    is_long = F.coalesce(F.length("text") > LONG_CHARS, F.lit(False))
+    # whatever their length, Python and scripts with markup are judged without maps, which know no markup
+    has_map = (F.col("ending") != "py") & ~F.col("text").rlike(_MARKUP.pattern)
+    is_long = F.coalesce((F.length("text") > LONG_CHARS) & has_map, F.lit(False))
     short = spread(rows.where(~is_long).withColumn("mapped", F.lit(None).cast("string")), "repository_id", "path")
     long_ = rows.where(is_long).withColumn("key", F.xxhash64("repository_id", "path", "text"))
     mapped = long_.join(long_text_verdicts(long_), "key", "left").select("repository_id", "path", "ending", "text", F.coalesce("mapped", F.lit("")).alias("mapped"))

@@ -127,3 +127,11 @@ def test_statements_go_on_over_lines():
         assert ecma.valid(t, True, False), t
     for t in ("x =\nconst y = 1", "export\nfunction f( {", "if (x)\nclass A {}", "const f = 1\nreturn"):
         assert not ecma.valid(t, False, True), t
+
+
+def test_length_does_not_change_the_verdict(spark, rows):
+    head = "const a = <p>one ` tick, /* and https://x.example</p>;\n"
+    body = head + "const f = (x) => { return x; };\n" * 40_000
+    assert len(body) > syntax.LONG_CHARS and syntax.judge(head, "jsx") is None
+    files = spark.createDataFrame([("r", "short.jsx", head, "", ""), ("r", "long.jsx", body, "", ""), ("r", "open.jsx", body + "f(", "", ""), ("r", "open.py", "x = 1\n" * 200_000 + "f(\n", "", ""), ("r", "ok.py", "x = 1\n" * 200_000, "", "")], FILES)
+    assert rows(syntax.unparsable(files, spark.createDataFrame([], REPORTS))) == [("r", "open.jsx"), ("r", "open.py")]
