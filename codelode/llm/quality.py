@@ -6,9 +6,9 @@ sorted; running counts within a partition plus the offsets of the partitions
 before it give exact ranks, so a value that a third of all documents share is
 one row and no group is collected.  The ranks give empirical tail
 probabilities, whose negative logarithms, in the direction that speaks against
-prose, add up to an outlier score.  ``not_prose`` takes the documents whose
-score reaches a cut and checks each on the share of its text that stands in
-sentences.
+prose, add up to an outlier score.  How far a document lies out depends on what
+else the corpus holds, so ``not_prose`` asks each document alone: for the share
+of its text that stands in sentences.
 
 Defined results
 * Null, empty and blank texts have zero words and null shares, no score, and
@@ -67,9 +67,6 @@ MAINLY = 0.5
 STATS = ("n_words", "mean_word_length", "symbol_share", "stop_line_share", "common_share", "prose_share", "code_line_share")
 #: The tail that speaks against prose.
 TAILS = {"mean_word_length": "both", "symbol_share": "right", "stop_line_share": "left", "common_share": "left", "prose_share": "left", "code_line_share": "right"}
-#: Least outlier score of a candidate.  A document with less than half of its
-#: text in sentences lies in the left tail of that share and of the common words.
-CUT = 0.5
 
 
 def measure(text: str) -> tuple[float, ...]:
@@ -206,6 +203,6 @@ def scored(documents: DataFrame) -> DataFrame:
     return stats.distinct().join(score, ["doc_id", "lang"], "left")
 
 
-def not_prose(documents: DataFrame, cut: float = CUT) -> DataFrame:
+def not_prose(documents: DataFrame) -> DataFrame:
     """(doc_id) of the documents that are not mainly running prose."""
-    return scored(documents).where((F.col("score") >= cut) & (F.col("prose_share") < MAINLY)).select("doc_id").distinct()
+    return statistics(documents).where(F.col("prose_share") < MAINLY).select("doc_id").distinct()

@@ -120,6 +120,13 @@ def test_quality_kinds(spark):
     assert quality.not_prose(docs(spark, [])).collect() == []
 
 
+def test_quality_does_not_depend_on_the_mix(spark):
+    log = "[INFO] worker=3 status=0 {} ;;\n" * 20
+    copies = [(i, log) for i in range(2, 60)]
+    assert {r.doc_id for r in quality.not_prose(docs(spark, [(1, PROSE * 3), *copies])).collect()} == {i for i, _ in copies}
+    assert [r.doc_id for r in quality.not_prose(docs(spark, [(7, log)], None)).collect()] == [7]
+
+
 def test_ranks_equal_brute_force(spark):
     r = random.Random(4)
     words = "the a of is parser cache x1 {} ; zebra layer and".split()
