@@ -6,7 +6,8 @@ profile of each key.  Names that differ are blocked by phonetic codes of their
 sorted tokens, addresses by what is left of them without one character, so no
 block holds more than near neighbours; candidates are compared with
 Jaro-Winkler, a table of short forms and a rule on abbreviations, and need
-evidence from an address.  Accepted pairs are clustered by connected
+evidence from an address, which must spell out the other name where the names
+differ by a letter and both are common.  Accepted pairs are clustered by connected
 components with pointer jumping.
 
 Defined results
@@ -51,8 +52,10 @@ ROLES = frozenset(
 )
 AUTOMATIC = r"(?i)\[bot\]|(^|[-_. ])(bot|runner|mirror|daemon|automation)$"
 LEAST_SIMILARITY = 0.85
-#: A given name with so many different partners is established, not a slip.
-ESTABLISHED = 5
+#: Two name parts one letter apart are both established, neither a slip of the
+#: other, if the rarer has so many different partners and such a share of the
+#: commoner's; a slip keeps its small share however large the table is.
+ESTABLISHED, ESTABLISHED_SHARE = 5, 0.1
 #: A domain with fewer full names is not known to be an organisation's.
 LEAST_NAMES = 5
 
@@ -156,13 +159,19 @@ def related(a: str, b: str, settled: bool) -> bool:
     return near(a, b) and not settled and min(len(a), len(b)) >= 3
 
 
-def same_name(a: list[str], b: list[str], settled: frozenset[str]) -> bool:
-    """Whether two full names can be spellings of one, token by token."""
+def established(a: str, b: str, partners: dict[str, int]) -> bool:
+    """Whether two name parts with these numbers of partners are two names rather than one with a slip."""
+    low, high = sorted((partners.get(a, 0), partners.get(b, 0)))
+    return low >= ESTABLISHED and low >= ESTABLISHED_SHARE * high
+
+
+def same_name(a: list[str], b: list[str], partners: dict[str, int]) -> bool:
+    """Whether two full names can be spellings of one, token by token; without partners no part is established."""
     if len(a) != len(b) or len(a) < 2:
         return False
     for i in range(len(b)):
         turned = b[i:] + b[:i]
-        ok = [related(x, y, x in settled and y in settled) for x, y in zip(a, turned)]
+        ok = [related(x, y, established(x, y, partners)) for x, y in zip(a, turned)]
         if all(ok) and any(near(x, y) and len(x) >= 4 for x, y in zip(a, turned)):
             return True
     return False
@@ -188,6 +197,12 @@ def speaks_of(local: str, tokens: list[str]) -> bool:
     return False
 
 
+def spells(local: str, tokens: list[str]) -> bool:
+    """Whether an address is this name in full, letter by letter."""
+    plain = re.sub(r"[^a-z]", "", _plain(local))
+    return any(plain == "".join(tokens[i:] + tokens[:i]) for i in range(len(tokens)))
+
+
 def fits(local: str, tokens: list[str]) -> bool:
     """Whether a name, if only initials or parts of one, does not speak against an address."""
     plain = re.sub(r"[^a-z]", "", _plain(local))
@@ -263,20 +278,22 @@ def _pair_rows(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def _check_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of names that can be one; ``sure`` asks for an address that spells out the other name."""
     for batch in batches:
         rows = batch.to_pydict()
-        keep = [
-            same_name(a.split(" "), b.split(" "), frozenset([*(sa or []), *(sb or [])]))
-            and similarity(a.split(" "), b.split(" ")) >= LEAST_SIMILARITY
-            for a, b, sa, sb in zip(rows["full_a"], rows["full_b"], rows["settled_a"], rows["settled_b"])
-        ]
-        yield batch.select(["full_a", "full_b"]).filter(pa.array(keep, pa.bool_()))
+        keep, sure = [], []
+        for a, b, pa_, pb in zip(rows["full_a"], rows["full_b"], rows["partners_a"], rows["partners_b"]):
+            a, b = a.split(" "), b.split(" ")
+            keep.append(same_name(a, b, {}) and similarity(a, b) >= LEAST_SIMILARITY)
+            sure.append(keep[-1] and not same_name(a, b, {x["w"]: x["n"] for x in [*pa_, *pb]}))
+        pairs = pa.record_batch([batch.column("full_a"), batch.column("full_b"), pa.array(sure, pa.bool_())], names=["full_a", "full_b", "sure"])
+        yield pairs.filter(pa.array(keep, pa.bool_()))
 
 
 def _check_evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.to_pydict()
-        keep = [bool(l) and speaks_of(l, other.split(" ")) for l, other in zip(rows["local"], rows["other"])]
+        keep = [bool(l) and (spells if sure else speaks_of)(l, other.split(" ")) for l, other, sure in zip(rows["local"], rows["other"], rows["sure"])]
         yield batch.select(["full_a", "full_b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -288,7 +305,7 @@ def _check_addresses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             a, b = na.split(" "), nb.split(" ")
             full = [[w for w in x if len(w) > 1] for x in (a, b)]
             if len(full[0]) >= 2 and len(full[1]) >= 2:
-                agree = full[0] == full[1] or same_name(*full, frozenset())
+                agree = full[0] == full[1] or same_name(*full, {})
             else:
                 agree = fits(la, b) and fits(lb, a) or fits(la, a) and fits(la, b)
             keep.append(near(la, lb) and agree)
@@ -309,17 +326,18 @@ def links(nodes: DataFrame) -> DataFrame:
     )
     org = owned.select("node", "domain").join(domains.where((F.col("elsewhere") < 0.5) & (F.col("n") >= LEAST_NAMES)), "domain", "left_semi").select("node", F.col("domain").alias("org"))
 
-    # distinct full names with their organisation and their established parts
+    # distinct full names with their organisation and the numbers of partners of their parts
     words = named.select("full", F.explode(F.split("full", " ")).alias("w")).distinct()
-    partners = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ESTABLISHED)
-    settled = words.join(partners, "w").groupBy("full").agg(F.sort_array(F.collect_set("w")).alias("settled"))
+    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    partners = words.join(counts, "w").groupBy("full").agg(F.sort_array(F.collect_set(F.struct("w", "n"))).alias("partners"))
     orgs = named.join(org, "node", "left").groupBy("full").agg(F.min("org").alias("org"))
-    names = stage(orgs.join(settled, "full", "left").withColumn("key", F.explode(_name_blocks("full")))).df
-    close = stage(_pair_rows(names, "key", ["full", "settled", "org"]).where("org_a is null or org_b is null or org_a = org_b").mapInArrow(_check_names, "full_a string, full_b string")).df
+    names = stage(orgs.join(partners, "full").withColumn("key", F.explode(_name_blocks("full")))).df
+    pairs = _pair_rows(names, "key", ["full", "partners", "org"]).where("org_a is null or org_b is null or org_a = org_b")
+    close = stage(pairs.mapInArrow(_check_names, "full_a string, full_b string, sure boolean")).df
     addresses = named.where("local <> ''").select("full", "local").distinct()
     evidence = (
-        close.join(addresses, close["full_a"] == addresses["full"]).select("full_a", "full_b", "local", F.col("full_b").alias("other"))
-        .unionByName(close.join(addresses, close["full_b"] == addresses["full"]).select("full_a", "full_b", "local", F.col("full_a").alias("other")))
+        close.join(addresses, close["full_a"] == addresses["full"]).select("full_a", "full_b", "sure", "local", F.col("full_b").alias("other"))
+        .unionByName(close.join(addresses, close["full_b"] == addresses["full"]).select("full_a", "full_b", "sure", "local", F.col("full_a").alias("other")))
         .mapInArrow(_check_evidence, "full_a string, full_b string")
         .distinct()
     )

@@ -34,6 +34,16 @@ def test_variants_of_one_person(spark):
     assert got == {frozenset(f"{n} <{e}>" for n, e in one)}
 
 
+def test_frequent_slips_and_established_names(spark):
+    sur = [f"{a}{b}velu" for a in "bcdfgklmnp" for b in ("ar", "ek", "il", "on", "ub", "ast", "erm", "umdal")]
+    slips = [(f"Thomas {s.title()}", f"t.{s}@a{s}.example") for s in sur] + [(f"Thoams {s.title()}", f"t{s}@b{s}.example") for s in sur[:6]]
+    two = [(f"{g} {s.title()}", f"{g.lower()}.{s}@{g.lower()}{s}.example") for g, part in (("Hana", sur[:8]), ("Hanna", sur[20:28])) for s in part]
+    spelt = [("Hana Xelurost", "hxelurost@c.example"), ("Hanna Xelurost", "hana.xelurost@d.example")]
+    apart = [("Hana Zorukast", "hzorukast@e.example"), ("Hanna Zorukast", "hanna.zorukast@f.example")]
+    want = {frozenset(f"{n} <{e}>" for n, e in slips if n.endswith(s.title())) for s in sur[:6]} | {frozenset(f"{n} <{e}>" for n, e in spelt)}
+    assert person(spark, slips + two + spelt + apart) == want
+
+
 def test_short_forms(spark):
     got = person(spark, [("Michael Zefafem", "michael.zefafem@oldmill.example"), ("Mick Zefafem", "m.zefafem@postbox.example"), ("Bob Vonolurde", "robert.vonolurde@inbox.example"), ("Robert Vonolurde", "rvonolurde@inbox.example")])
     assert len(got) == 2
