@@ -1,7 +1,11 @@
 """Queries of the engine's operators over the tables of a folder, each beside its SQL.
 
-Every query runs over its whole tables; a literal in a call is the parameter
-that the operator takes (a path, a commit, a search text, a date).
+Every query runs over all rows of its tables; a literal in a call is the
+parameter that the operator takes (a path, a commit, a search text, a date).
+Three make small inputs for their operators, as their SQL does: short questions
+out of the heads of documents, heads of items, and calls to one name.  Beside
+them ``intent_whole_texts``, ``substring_whole_items`` and, in
+``catalog_sources``, ``source_call_edges`` give the operators everything.
 """
 
 from __future__ import annotations
@@ -518,6 +522,20 @@ _INTENT = ", ".join("(" + " + ".join(f"regexp_matches(q, $${p}$$, 'i')::INTEGER"
 _BEST = "CASE " + " ".join(f"WHEN s{i} = m THEN '{n}'" for i, n in enumerate(K.INTENT_PATTERNS)) + " END"
 
 
+def _intent_sql(question: str) -> str:
+    return (
+        f"SELECT doc_id, CASE WHEN short AND regexp_matches(q, $${'|'.join(K.CONTEXT_DEPENDENCY)}$$, 'i') THEN 'dependency_question' WHEN short AND regexp_matches(q, $${'|'.join(K.CONTEXT_DETAIL)}$$, 'i') THEN 'symbol_explanation' WHEN m > 0 THEN {_BEST} ELSE 'unknown' END AS intent, "
+        f"CASE WHEN short AND regexp_matches(q, $${'|'.join(K.CONTEXT_DEPENDENCY + K.CONTEXT_DETAIL)}$$, 'i') THEN 0.7 WHEN m > 0 THEN least(m / 2.0, 1.0) ELSE 0.5 END::DOUBLE AS confidence "
+        f"FROM (SELECT *, greatest({', '.join(f's{i}' for i in range(len(K.INTENT_PATTERNS)))}) AS m, (len(list_filter(regexp_split_to_array(trim(q), '\\s+'), lambda w: w <> '')) <= 4 AND doc_id % 2 = 0) AS short FROM (SELECT doc_id, q, {_INTENT} FROM (SELECT doc_id, {question} AS q FROM documents WHERE text IS NOT NULL)))"
+    )
+
+
+@query(_intent_sql("text"))
+def intent_whole_texts(spark, folder):
+    d = table(spark, folder, "documents").where("text is not null")
+    return d.select("doc_id", P.intent(F.col("text"), F.col("doc_id") % 2 == 0).alias("i")).select("doc_id", "i.intent", "i.confidence")
+
+
 @query(f"SELECT doc_id, CASE WHEN short AND regexp_matches(q, $${'|'.join(K.CONTEXT_DEPENDENCY)}$$, 'i') THEN 'dependency_question' WHEN short AND regexp_matches(q, $${'|'.join(K.CONTEXT_DETAIL)}$$, 'i') THEN 'symbol_explanation' WHEN m > 0 THEN {_BEST} ELSE 'unknown' END AS intent, "
        f"CASE WHEN short AND regexp_matches(q, $${'|'.join(K.CONTEXT_DEPENDENCY + K.CONTEXT_DETAIL)}$$, 'i') THEN 0.7 WHEN m > 0 THEN least(m / 2.0, 1.0) ELSE 0.5 END::DOUBLE AS confidence "
        f"FROM (SELECT *, greatest({', '.join(f's{i}' for i in range(len(K.INTENT_PATTERNS)))}) AS m, (len(list_filter(regexp_split_to_array(trim(q), '\\s+'), lambda w: w <> '')) <= 4 AND doc_id % 2 = 0) AS short FROM (SELECT doc_id, q, {_INTENT} FROM (SELECT doc_id, left(text, 20 + (doc_id % 60)) AS q FROM documents WHERE text IS NOT NULL)))")
@@ -547,6 +565,12 @@ def substring_theta_join(spark, folder):
     return table(spark, folder, "documents").select("doc_id", "text").join(items, F.contains("text", "part")).select("item_id", "doc_id").distinct()
 
 
+@query("SELECT DISTINCT i.item_id, d.doc_id FROM benchmark i JOIN documents d ON contains(d.text, i.text)")
+def substring_whole_items(spark, folder):
+    items = coverage.small(table(spark, folder, "benchmark").select("item_id", F.col("text").alias("part")).distinct())
+    return table(spark, folder, "documents").select("doc_id", "text").join(items, F.contains("text", "part")).select("item_id", "doc_id").distinct()
+
+
 _CLEAN = "text"
 for _p, _new in K.SECRET_PATTERNS:
     _CLEAN = f"regexp_replace({_CLEAN}, $${_p}$$, $${_new.replace('$1', chr(92) + '1')}$$, 'g')"

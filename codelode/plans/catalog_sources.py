@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.functions import text as X
-from codelode.operators import search
+from codelode.operators import graph, search
 from codelode.sources import ci, gitlog, reports, source_code
 from codelode.sources.tables import table
 
@@ -33,6 +33,14 @@ def source_calls(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("repository_id", "path", F.col("owner").alias("caller_name"), F.col("name").alias("callee_name"), F.col("start_line").alias("line_number"))
 
 
+def source_call_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls in the stored sources, resolved against all symbols of their repository."""
+    run, file_id = F.col("repository_id").alias("analysis_run_id"), F.col("path").alias("file_id")
+    calls = source_calls(spark, folder).select("caller_name", "callee_name", run, file_id, "line_number")
+    symbol_id = F.sha2(F.to_json(F.struct("repository_id", "path", "symbol_type", "class_name", "name", "start_line")), 256).alias("id")
+    return graph.resolve_calls(calls, source_symbols(spark, folder).select(symbol_id, "name", run, file_id).distinct())
+
+
 def analysis_summary(spark: SparkSession, folder: str) -> DataFrame:
     return _analysed(spark, folder).groupBy("kind", F.when(F.col("kind") == "symbol", F.col("detail")).alias("symbol_type")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -93,5 +101,5 @@ def symbol_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (source_symbols, source_imports, source_calls, analysis_summary, routes, junit_parse, json_report_parse, gitlog_parse, ci_commands, section_parse, symbol_chunks)
+    for f in (source_symbols, source_imports, source_calls, source_call_edges, analysis_summary, routes, junit_parse, json_report_parse, gitlog_parse, ci_commands, section_parse, symbol_chunks)
 }

@@ -42,3 +42,18 @@ def test_entry_point(spark):
 
     assert e.entry(spark).columns == ["repository_id", "analysis_run_id", "path", "name", "change_kind"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_whole_texts_are_read(spark, tmp_path):
+    far = "x" * 100
+    spark.createDataFrame([(1, far + " what does this call and who calls it"), (3, far + " one two"), (5, "x" * 60 + " one")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", far + " one two")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    intents = {r.doc_id: r.intent for r in QUERIES["intent_whole_texts"](spark, str(tmp_path)).collect()}
+    assert intents[1] != "unknown" and intents[3] == "unknown"
+    assert [tuple(r) for r in QUERIES["substring_whole_items"](spark, str(tmp_path)).select("item_id", "doc_id").collect()] == [("a", 3)]
+
+
+def test_real_calls_meet_all_symbols(spark, tmp_path):
+    spark.createDataFrame([("r", "a.py", "def f():\n    g()\n"), ("r", "b.py", "class g:\n    def h(self):\n        f()\n")], "repository_id string, path string, content string").write.parquet(f"{tmp_path}/file_info.parquet")
+    edges = QUERIES["source_call_edges"](spark, str(tmp_path)).collect()
+    assert sorted(r.line for r in edges) == [2, 3] and {r.src for r in edges} != {r.dst for r in edges}
