@@ -53,7 +53,13 @@ LIMITS = {
     "script": {"longest": 250, "space": 0.09, "numeric": 0.22, "encoded": 0.30},
     "python": {"longest": 400, "space": 0.07, "numeric": 0.25, "encoded": 0.30},
     "style": {"longest": 250, "space": 0.09, "numeric": 2.0, "encoded": 0.50},
+    "other": {"longest": 400, "space": 0.07, "numeric": 0.25, "encoded": 0.30},
 }
+#: Endings of code in languages without thresholds of their own.
+OTHER_CODE = (
+    "c h cc cpp cxx hh hpp hxx m mm cs java kt kts scala groovy go rs swift dart php phtml rb pl pm lua r jl hs ml ex exs erl clj "
+    "html htm xhtml vue svelte scss sass less sh bash ps1 sql pyi pyx mts cts"
+).split()
 #: Shortest text that layout alone can judge.
 LEAST_CHARS = 300
 
@@ -103,7 +109,7 @@ def classify(files: DataFrame) -> DataFrame:
     stats = rows.select("repository_id", "path", "text", *[c.alias(k) for k, c in layout(text).items()])
     ending = F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
     language = (
-        F.when(ending.isin("js", "jsx", "ts", "tsx", "mjs", "cjs"), "script").when(ending == "py", "python").when(ending == "css", "style")
+        F.when(ending.isin("js", "jsx", "ts", "tsx", "mjs", "cjs"), "script").when(ending == "py", "python").when(ending == "css", "style").when(ending.isin(*OTHER_CODE), "other")
     )
     limit = lambda k: F.coalesce(*[F.when(language == g, F.lit(v[k])) for g, v in LIMITS.items()])
     enough = F.col("n_chars") >= LEAST_CHARS

@@ -46,3 +46,11 @@ def test_long_texts_and_empty_table(spark, rows):
     df = spark.createDataFrame([("r", "a.js", comment + "const a = 1;", "", "", 0), ("r", "b.js", "const a = 1;\n// @generated by t\n" + comment, "", "", 0)], SCHEMA)
     assert rows(H.not_handwritten(df)) == [("r", "b.js")]
     assert rows(H.not_handwritten(spark.createDataFrame([], SCHEMA))) == []
+
+
+def test_other_code_endings(spark, rows):
+    java = "class A {\n    int f(int x) {\n        return x + 1;\n    }\n}\n" * 12
+    files = spark.createDataFrame([("r", p, c, "", "", 0) for p, c in [
+        ("a/api.pb.go", "package a\n"), ("a/Gen.java", "// Code generated by tool. DO NOT EDIT.\n" + java), ("a/Own.java", java), ("a/page.html", MIN), ("a/t.c", "int t[] = {\n" + "    12345, 67890, 13579, 24680,\n" * 40 + "};\n"), ("a/notes.txt", MIN),
+    ]], SCHEMA)
+    assert rows(H.classify(files).where("kind is not null"), "path", "kind") == [("a/Gen.java", "generated"), ("a/api.pb.go", "generated"), ("a/page.html", "minified"), ("a/t.c", "data")]
