@@ -9,16 +9,25 @@ role the group could play (block, object, class body, parameters, ...).  The
 group is replaced by one character that stands for its roles.  What a content
 string is worth is remembered, so text that repeats its forms costs a lookup.
 
-Strict-mode and scope rules (double declarations, labels that do not exist)
-are not syntax here.  ``await`` and ``yield`` count as words of the language.
+Brackets are matched by a stack in one pass, and no depth of nesting is
+refused: the reader's recursion lives on the heap (see ``DEEPEST``).
+
+Scope rules (double declarations, labels that do not exist) and most rules of
+strict mode are not syntax here; ``with`` in a module, in a class or under a
+leading ``use strict`` is.  ``await`` and ``yield`` count as words of the language.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from functools import lru_cache
 
 
+#: Frames of the reader; they are Python frames only, which take memory but none of the C stack.
+DEEPEST = 1_000_000
+
+
 class Bad(Exception):
     """The text is not valid."""
 
@@ -42,7 +51,7 @@ _NAME_START = r"A-Za-z_$ªµºÀ-ÖØ-öø-˿Ͱ-ͽͿ-῿‌-‍⁰-↏Ⰰ-⿯、
 _NAME = rf"[{_NAME_START}][{_NAME_START}0-9\u0300-\u036f]*"
 _DIGITS = r"[0-9]+(?:_[0-9]+)*"
 _NUMBER = re.compile(
-    rf"(?<![\w$])(?:0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[bB][01]+(?:_[01]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?|{_DIGITS}n|(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?)(?![\w$])"
+    rf"(?<![\w$])(?:0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[bB][01]+(?:_[01]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?|(?:0|[1-9][0-9]*(?:_[0-9]+)*)n|(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?)(?![\w$])"
 )
 _LEFT_DIGIT = re.compile(r"(?<![\w$])[0-9]")
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
@@ -244,7 +253,9 @@ def reduce_text(text: str, jsx: bool) -> str:
 
 # --- grammar ---------------------------------------------------------------------------------------
 
-RETURN, AWAIT, YIELD, BREAK, CONTINUE = 1, 2, 4, 8, 16
+RETURN, AWAIT, YIELD, BREAK, CONTINUE, SUPER, TARGET, WITH, MODULE = 1, 2, 4, 8, 16, 32, 64, 128, 256
+#: What a function that is no method must not hold, and what leaves a function's body.
+_OF_METHODS, _OF_ARROWS, _OF_BODIES = SUPER, SUPER | TARGET | WITH, WITH
 _TOKEN = re.compile(
     r"\n|[A-Za-z_$]+|0|'|`|\x02|\x01|#a?|[\ue000-\uf8ff\U000f0000-\U0010ffff]|>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?![0-9])|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|\*\*|[-+*/%=<>!~?:;,.&|^@]| +"
 )
@@ -612,19 +623,66 @@ class Reader:
                 self.eat("*")
                 self.assign(no_in)
             return
-        if self.arrow(no_in):
-            return
-        start = self.i
-        kind = self.conditional(no_in)
-        if self.tok in _ASSIGN or self.tok == ">" and self.peek() in (">=", ">>=") and False:
-            op = self.tok
-            if kind != "ref":
-                # a group as target must also be a pattern
-                g = GROUPS.roles.get(self.t[start]) if self.i == start + 1 else None
-                if not (op == "=" and g and g[0] in "[{"):
+        while True:
+            if self.pattern("="):
+                self.i += 1
+            elif self.arrow(no_in):
+                return
+            else:
+                kind = self.conditional(no_in)
+                if self.tok not in _ASSIGN:
+                    return
+                if kind != "ref":
                     raise Bad("target expected")
+                self.i += 1
+            if self.tok == "yield":
+                self.assign(no_in)
+                return
+
+    def pattern(self, *then: str) -> bool:
+        """Take a group that is a pattern of targets, if one of the tokens comes after it."""
+        b = self.bracket()
+        if b in ("[", "{") and self.peek() in then and self.can(b, "A"):
+            self.group(b, "A")
+            return True
+        return False
+
+    def target(self) -> None:
+        if not self.pattern(",", "=", "") and self.postfix() != "ref":
+            raise Bad("target expected")
+        if self.ts and self.tok in ("as", "satisfies"):
             self.i += 1
-            self.assign(no_in)
+            self.type_()
+
+    def array_targets(self) -> None:
+        while self.tok:
+            if self.eat(","):
+                continue
+            rest = self.eat("...")
+            self.target()
+            if rest:
+                self.done()
+            elif self.eat("="):
+                self.assign()
+            if self.tok:
+                self.need(",")
+
+    def object_targets(self) -> None:
+        while self.tok:
+            if self.eat("..."):
+                self.target()
+                self.done()
+                return
+            if self.is_name() and self.peek() in (",", "=", ""):
+                self.i += 1
+            else:
+                self.key()
+                self.need(":")
+                self.target()
+            if self.eat("="):
+                self.assign()
+            if self.tok:
+                self.need(",")
 
     def arrow(self, no_in: bool) -> bool:
         at = self.i
@@ -637,7 +695,7 @@ class Reader:
 
             def head() -> None:
                 self.i += n
-                self.group("(", "P", keep=False)
+                self.flags |= self.group("(", "P", keep=False) & _OF_ARROWS
                 self.type_note()
                 if self.tok != "=>" or self.nl[self.i]:
                     raise Bad("=> expected")
@@ -662,23 +720,24 @@ class Reader:
             return False
         self.need("=>")
         if self.bracket() == "{":
-            self.body(is_async, False)
+            self.flags |= self.body(is_async, False) & _OF_ARROWS
             return True
         before, self.flags = self.flags, 0
         self.assign(no_in)
         if self.flags & AWAIT and not is_async or self.flags & YIELD:
             raise Bad("await outside of async")
-        self.flags = before
+        self.flags = before | self.flags & _OF_ARROWS
         return True
 
-    def body(self, is_async: bool, generator: bool) -> None:
+    def body(self, is_async: bool, generator: bool) -> int:
         f = self.group("{", "B", keep=False)
         if f & AWAIT and not is_async or f & YIELD and not generator or f & (BREAK | CONTINUE):
             raise Bad("misplaced statement in a body")
+        return f
 
     def conditional(self, no_in: bool) -> str:
         kind = self.binary(no_in)
-        if self.tok == "?" :
+        while self.tok == "?":
             self.i += 1
             at, flags = self.i, self.flags
             saved = self.t
@@ -692,26 +751,43 @@ class Reader:
                 self.t, self.i, self.flags = saved, at, flags
                 self.conditional(False)
                 self.need(":")
-            self.assign(no_in)
-            return "value"
+            kind = "value"
+            if self.tok == "yield" or self.pattern("=") or self.arrow(no_in):
+                # after a pattern its value follows; nothing of these is a condition
+                if self.eat("=") or self.tok == "yield":
+                    self.assign(no_in)
+                return kind
+            # a further condition is read by the next round
+            inner = self.binary(no_in)
+            if self.tok in _ASSIGN:
+                if inner != "ref":
+                    raise Bad("target expected")
+                self.i += 1
+                self.assign(no_in)
+                return kind
         return kind
 
     def binary(self, no_in: bool) -> str:
         kind = self.unary()
+        mixed = set()
         while True:
             x = self.tok
+            if x in ("??", "||", "&&"):
+                mixed.add(x == "??")
+                if len(mixed) > 1:
+                    raise Bad("?? beside || or &&")
+            elif x == "**" and kind == "unary":
+                raise Bad("power of a sign")
             if x == ">" and self.peek() == ">":
                 while self.tok == ">":
                     self.i += 1
-                kind = "value"
-                self.unary()
+                kind = "unary" if self.unary() == "unary" else "value"
             elif x in _BINARY and not (no_in and x == "in"):
                 self.i += 1
-                kind = "value"
-                self.unary()
-            elif x == ">=" or x == ">>=" and False:
+                kind = "unary" if self.unary() == "unary" else "value"
+            elif x == ">=":
                 self.i += 1
-                self.unary()
+                kind = "unary" if self.unary() == "unary" else "value"
             elif self.ts and x in ("as", "satisfies") and not self.nl[self.i]:
                 self.i += 1
                 if self.tok == "const":
@@ -723,17 +799,19 @@ class Reader:
                 return kind
 
     def unary(self) -> str:
-        x = self.tok
-        if x in _UNARY:
-            self.i += 1
-            kind = self.unary()
-            if x in ("++", "--") and kind != "ref":
-                raise Bad("target expected")
-            return "value"
-        if x == "await":
+        x, signs = self.tok, False
+        while x in _UNARY and x not in ("++", "--") or x == "await":
+            if x == "await":
+                self.flags |= AWAIT
             self.i += 1
-            self.flags |= AWAIT
+            x, signs = self.tok, True
+        if signs:
             self.unary()
+            return "unary"
+        if x in ("++", "--"):
+            self.i += 1
+            if self.unary() != "ref":
+                raise Bad("target expected")
             return "value"
         if self.ts and x == "<":
             self.type_args()
@@ -842,6 +920,7 @@ class Reader:
         if x == "new":
             self.i += 1
             if self.eat("."):
+                self.flags |= TARGET
                 self.word()
                 return "value"
             self.callee()
@@ -852,6 +931,7 @@ class Reader:
             return "value"
         if x == "super":
             self.i += 1
+            self.flags |= SUPER
             if self.bracket() not in ("(", "[") and self.tok != ".":
                 raise Bad("super alone")
             return "value"
@@ -900,10 +980,8 @@ class Reader:
         while self.tok:
             if self.eat("..."):
                 self.assign()
-            elif self.is_name() and self.peek() in (",", "", "="):
+            elif self.is_name() and self.peek() in (",", ""):
                 self.i += 1
-                if self.eat("="):
-                    self.assign()
             else:
                 is_async, generator, accessor = self.method_head()
                 self.key()
@@ -911,7 +989,7 @@ class Reader:
                     self.i += 1
                     self.assign()
                 else:
-                    self.signature_and_body(is_async, generator, must=True)
+                    self.signature_and_body(is_async, generator, must=True, method=True)
             if self.tok:
                 self.need(",")
 
@@ -928,16 +1006,22 @@ class Reader:
             accessor = True
         return is_async, generator, accessor
 
-    def signature_and_body(self, is_async: bool, generator: bool, must: bool) -> None:
+    def signature_and_body(self, is_async: bool, generator: bool, must: bool, method: bool = False) -> bool:
+        """Whether there is a body."""
         self.type_params()
-        self.group("(", "P", keep=False)
+        f = self.group("(", "P", keep=False)
         self.type_note()
-        if self.bracket() == "{":
-            self.body(is_async, generator)
+        has_body = self.bracket() == "{"
+        if has_body:
+            f |= self.body(is_async, generator)
         elif must or not self.ts:
             raise Bad("body expected")
         else:
             self.semicolon()
+        if f & _OF_METHODS and not method:
+            raise Bad("super outside of a method")
+        self.flags |= f & _OF_BODIES
+        return has_body
 
     def function(self, named: bool) -> None:
         is_async = self.eat("async")
@@ -969,7 +1053,10 @@ class Reader:
             raise Bad("name expected")
         self.type_params()
         self.heritage()
-        self.group("{", "C")
+        f = self.group("{", "C", keep=False)
+        if f & WITH:
+            raise Bad("with in a class")
+        self.flags |= f & ~(SUPER | TARGET)
 
     def decorator(self) -> None:
         if self.bracket() == "(":
@@ -985,6 +1072,7 @@ class Reader:
 
     def class_body(self) -> None:
         key_next = lambda n: self.is_word(n) or self.peek(n) in ("'", "0", "#a", "#", "*") or self.bracket(n) in ("[", "{")
+        constructors = 0
         while self.tok:
             if self.eat(";"):
                 continue
@@ -992,12 +1080,15 @@ class Reader:
                 self.decorator()
             if self.tok == "static" and self.bracket(1) == "{":
                 self.i += 1
-                self.group("{", "B", keep=False)
+                if self.group("{", "B", keep=False) & (WITH | RETURN | AWAIT | YIELD | BREAK | CONTINUE):
+                    raise Bad("misplaced statement in a static block")
                 continue
+            static = False
             words = _MODIFIERS if self.ts else ("static", "accessor")
             while self.tok in words and key_next(1) and not (self.nl[self.i + 1] and self.tok not in ("static", "public", "private", "protected", "abstract")):
                 if self.bracket(1) == "{":
                     break
+                static |= self.tok == "static"
                 self.i += 1
             if self.ts and self.can("[", "I") and self.peek() == ":":
                 self.i += 1
@@ -1005,11 +1096,15 @@ class Reader:
                 self.semicolon()
                 continue
             is_async, generator, accessor = self.method_head()
+            makes = self.tok == "constructor" and not static
             self.key()
             if self.ts:
                 self.eat("?") or self.eat("!")
             if self.bracket() == "(" or self.ts and self.tok == "<":
-                self.signature_and_body(is_async, generator, must=not self.ts)
+                has_body = self.signature_and_body(is_async, generator, must=not self.ts, method=True)
+                constructors += makes and has_body
+                if makes and (is_async or generator or accessor) or constructors > 1:
+                    raise Bad("one plain constructor expected")
             else:
                 if is_async or generator or accessor:
                     raise Bad("method expected")
@@ -1234,11 +1329,15 @@ class Reader:
             else:
                 self.class_(named=True)
         elif x == "if":
-            self.i += 1
-            self.group("(", "E")
-            self.statement(False, declare=False)
-            if self.eat("else"):
+            while True:
+                self.i += 1
+                self.group("(", "E")
                 self.statement(False, declare=False)
+                if not self.eat("else"):
+                    break
+                if self.tok != "if":
+                    self.statement(False, declare=False)
+                    break
         elif x == "for":
             self.i += 1
             if self.eat("await"):
@@ -1294,6 +1393,7 @@ class Reader:
             self.flags = before | self.flags & ~BREAK
         elif x == "with":
             self.i += 1
+            self.flags |= WITH
             self.group("(", "E")
             self.statement(False, declare=False)
         elif x == "debugger":
@@ -1302,10 +1402,12 @@ class Reader:
         elif x == "import" and self.bracket(1) != "(" and self.peek() != ".":
             if not module:
                 raise Bad("import in a block")
+            self.flags |= MODULE
             self.import_()
         elif x == "export":
             if not module:
                 raise Bad("export in a block")
+            self.flags |= MODULE
             self.export()
         elif self.is_name() and self.peek() == ":":
             self.i += 2
@@ -1369,9 +1471,13 @@ class Reader:
         if self.tok in ("var", "const") or self.tok == "let" and (self.is_name(1) or self.bracket(1) in ("[", "{")):
             kind = self.tok
             self.i += 1
+            at = self.i
             ok = self.declarations(kind, no_in=True)
             if self.tok in ("of", "in"):
                 of = self.eat("of")
+                here = self.t[at : self.i - of]
+                if "," in here or "=" in here and (of or kind != "var" or here[0] != "a"):
+                    raise Bad("one name without a value expected")
                 if not of:
                     self.i += 1
                 self.assign() if of else self.expression()
@@ -1380,14 +1486,18 @@ class Reader:
             if not ok:
                 raise Bad("initializer expected")
         elif self.tok != ";":
-            self.expression(no_in=True)
-            if self.tok in ("of", "in"):
+            def each() -> None:
+                if not self.pattern("of", "in") and self.postfix() != "ref" or self.tok not in ("of", "in"):
+                    raise Bad("target expected")
+
+            if self.attempt(each):
                 of = self.eat("of")
                 if not of:
                     self.i += 1
                 self.assign() if of else self.expression()
                 self.done()
                 return
+            self.expression(no_in=True)
         self.need(";")
         if self.tok != ";":
             self.expression()
@@ -1415,8 +1525,8 @@ class Reader:
 #: For each bracket, the roles of its content and the rule that reads it; the flag says if only in TypeScript.
 ROLES = {
     "(": [("E", lambda r: r.all_(r.expression), False), ("ref", lambda r: r.reference(), False), ("G", lambda r: r.elements(False), False), ("P", lambda r: r.params(), False), ("F", lambda r: r.for_head(), False), ("K", lambda r: r.catch_param(), False), ("T", lambda r: r.all_(r.type_), True)],
-    "[": [("E", lambda r: r.elements(True), False), ("P", lambda r: r.array_pattern(), False), ("X", lambda r: r.all_(r.expression), False), ("C", lambda r: r.all_(r.assign), False), ("T", lambda r: r.tuple_(), True), ("I", lambda r: r.index_signature(), True)],
-    "{": [("B", lambda r: r.statements(), False), ("O", lambda r: r.object_(), False), ("P", lambda r: r.object_pattern(), False), ("C", lambda r: r.class_body(), False), ("W", lambda r: r.switch_body(), False), ("M", lambda r: r.specifiers(), False), ("T", lambda r: r.type_members(), True), ("N", lambda r: r.enum_members(), True), ("S", lambda r: r.statements(True), True)],
+    "[": [("E", lambda r: r.elements(True), False), ("P", lambda r: r.array_pattern(), False), ("A", lambda r: r.array_targets(), False), ("X", lambda r: r.all_(r.expression), False), ("C", lambda r: r.all_(r.assign), False), ("T", lambda r: r.tuple_(), True), ("I", lambda r: r.index_signature(), True)],
+    "{": [("B", lambda r: r.statements(), False), ("O", lambda r: r.object_(), False), ("P", lambda r: r.object_pattern(), False), ("A", lambda r: r.object_targets(), False), ("C", lambda r: r.class_body(), False), ("W", lambda r: r.switch_body(), False), ("M", lambda r: r.specifiers(), False), ("T", lambda r: r.type_members(), True), ("N", lambda r: r.enum_members(), True), ("S", lambda r: r.statements(True), True)],
 }
 
 
@@ -1431,7 +1541,7 @@ def _piece_flags(flat: str, ts: bool) -> int:
         r = Reader(tokenise(flat), ts)
         r.statements()
         return r.flags
-    except (Bad, RecursionError, IndexError):
+    except (Bad, IndexError):
         return -1
 
 
@@ -1463,7 +1573,7 @@ def content_roles(bracket: str, flat: str, ts: bool) -> str:
             r = Reader(tokens, ts)
             rule(r)
             roles[role] = 0 if role == "ref" else r.flags
-        except (Bad, RecursionError, IndexError):
+        except (Bad, IndexError):
             pass
     if not roles:
         raise Bad("nothing that may stand in brackets")
@@ -1471,49 +1581,75 @@ def content_roles(bracket: str, flat: str, ts: bool) -> str:
 
 
 @lru_cache(maxsize=50_000)
-def valid_top(flat: str, ts: bool) -> bool:
+def top_flags(flat: str, ts: bool) -> int:
+    """Flags of statements that stand in no group, -1 if they are none."""
     try:
         r = Reader(tokenise(flat), ts)
         r.statements(True)
-        return not r.flags & (RETURN | YIELD | BREAK | CONTINUE)
-    except (Bad, RecursionError, IndexError):
-        return False
+        return -1 if r.flags & (RETURN | YIELD | BREAK | CONTINUE | SUPER | TARGET) else r.flags
+    except (Bad, IndexError):
+        return -1
 
 
 #: A list that repeats an item is as valid as one that has it twice; a line end after a comma means nothing.
 _REPEATED = re.compile(r"([^,\n]{1,12},)\1{2,}")
 _COMMA_LINE = re.compile(r", ?\n ?")
-_INNERMOST = re.compile(r"\(([^()\[\]{}]*)\)|\[([^()\[\]{}]*)\]|\{([^()\[\]{}]*)\}")
+_BRACKET = re.compile(r"([()\[\]{}])")
+_OPENS = {")": "(", "]": "[", "}": "{"}
 _BLANK_EDGE = " \n"
-#: Line ends before a word that mostly begins a statement; one that goes on over such a line makes its pieces invalid.
-_TOP = re.compile(r"\n(?=(?:export|import|function|class|const|interface)\b)")
-
-
-#: Brackets nested more deeply are not judged: each level is one pass over what is left.
-MOST_DEPTH = 1_000
-
-
-def valid(text: str, ts: bool, jsx: bool) -> bool:
-    """Whether the text is valid JavaScript, or with ``ts`` TypeScript; RecursionError if it is nested too deeply."""
-    try:
-        flat = reduce_text(text, jsx)
-
-        def group(m: re.Match) -> str:
-            bracket, content = m[0][0], (m[1] or m[2] or m[3] or "").strip(" ")
+#: Words that mostly begin a statement; one that goes on over a line end before such a word makes its pieces invalid.
+STARTERS = r"(?:export|import|function|class|const|interface)\b"
+_TOP = re.compile(rf"\n(?={STARTERS})")
+_STRICT = re.compile(r"\A(?:#![^\n]*)?(?:\s|//[^\n]*|/\*.*?\*/)*(?:'use strict'|\"use strict\")", re.S)
+#: Comments as pages had them, which scripts may hold and modules not.
+_PAGE_COMMENT = re.compile(r"<!--|^[ \t]*-->", re.M)
+
+
+def _grouped(flat: str, ts: bool) -> str:
+    """The token classes with one character in place of each group, from the inside out."""
+    outer: list[tuple[str, list[str]]] = []
+    here: list[str] = []
+    for x in _BRACKET.split(flat):
+        if x in _OPENS:
+            if not outer or outer[-1][0] != _OPENS[x]:
+                raise Bad("bracket closed that was not open")
+            content = "".join(here).strip(" ")
             if len(content) > 40:
                 content = _REPEATED.sub(r"\1\1", _COMMA_LINE.sub(",", content))
-            return content_roles(bracket, content, ts)
-
-        n, depth = 1, 0
-        while n:
-            depth += 1
-            if depth > MOST_DEPTH:
-                raise RecursionError("nested too deeply")
-            flat, n = _INNERMOST.subn(group, flat)
-        if re.search(r"[()\[\]{}]", flat):
-            return False
+            bracket, here = outer.pop()
+            here.append(content_roles(bracket, content, ts))
+        elif x in ("(", "[", "{"):
+            outer.append((x, here))
+            here = []
+        elif x:
+            here.append(x)
+    if outer:
+        raise Bad("bracket left open")
+    return "".join(here)
+
+
+def _reads(text: str, ts: bool, jsx: bool, comments: bool = False) -> bool:
+    try:
+        flat = _grouped(reduce_text(text, jsx), ts)
     except Bad:
         return False
     # pieces that are all whole statements are as valid as the whole, which has to be read only if one of them is none
     parts = _TOP.split(flat)
-    return all(valid_top(part.strip(_BLANK_EDGE), ts) for part in parts) or len(parts) > 1 and valid_top(flat.strip(_BLANK_EDGE), ts)
+    found = [top_flags(part.strip(_BLANK_EDGE), ts) for part in parts]
+    if -1 in found:
+        if len(parts) == 1:
+            return False
+        found = [top_flags(flat.strip(_BLANK_EDGE), ts)]
+        if found[0] == -1:
+            return False
+    flags = 0
+    for f in found:
+        flags |= f
+    return not (flags & WITH and (flags & MODULE or _STRICT.match(text)) or comments and flags & MODULE)
+
+
+def valid(text: str, ts: bool, jsx: bool) -> bool:
+    """Whether the text is valid JavaScript, or with ``ts`` TypeScript; RecursionError beyond DEEPEST frames."""
+    if sys.getrecursionlimit() < DEEPEST:
+        sys.setrecursionlimit(DEEPEST)
+    return _reads(text, ts, jsx) or _PAGE_COMMENT.search(text) is not None and _reads(_PAGE_COMMENT.sub("//", text), ts, jsx, comments=True)

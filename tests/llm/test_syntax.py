@@ -92,19 +92,6 @@ def test_files(spark, rows, monkeypatch):
     assert rows(syntax.unparsable(spark.createDataFrame([], FILES), spark.createDataFrame([], REPORTS))) == []
 
 
-def test_long_files_are_cut(spark, rows):
-    body = "function f(a) {\n  return a;\n}\n" * 40_000
-    files = spark.createDataFrame([("r", "ok.js", body, "", ""), ("r", "open.js", body + "function g() {\n", "", ""), ("r", "quote.js", body + "/* never closed", "", "")], FILES)
-    assert min(len(body), 1 << 30) > syntax.LONG_CHARS
-    assert rows(syntax.unparsable(files, spark.createDataFrame([], REPORTS))) == [("r", "open.js"), ("r", "quote.js")]
-
-
-def test_deep_nesting_has_no_verdict(spark, rows):
-    files = spark.createDataFrame([("r", "deep.py", "(" * 5000 + ")" * 5000, "", ""), ("r", "deep.js", "[" * 20000 + "]" * 20000, "", ""), ("r", "ok.js", "[" * 500 + "]" * 500, "", "")], FILES)
-    assert ("r", "ok.js") not in rows(syntax.unparsable(files, spark.createDataFrame([], REPORTS)))
-    assert syntax.judge("[" * 20000 + "]" * 20000, "js") == "unknown"
-
-
 #: Texts that Python parses and refuses only when it makes code.
 NO_CODE = [
     "if x:\n    return 1\n", "class A:\n    return 1\n", "def f():\n    await g()\n", "def f():\n    async for a in b:\n        pass\n", "def f():\n    async with a:\n        pass\n",
