@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm import ecma, lexmap
-from codelode.staging import spread
+from codelode.staging import spread, stage
 
 ENDINGS = {"py": "Python", "js": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript"}
 #: Texts that are longer than this are cut and their chunks spread over the cluster.
@@ -269,8 +269,8 @@ def file_verdicts(files: DataFrame, long_chars: int = LONG_CHARS, size: int = le
     schema = "repository_id string, path string, ending string, stored boolean, error string"
     is_long = F.coalesce(F.length("text") > long_chars, F.lit(False))
     short = spread(rows.where(~is_long), "repository_id", "path")
-    # equal texts have one key, so each is read once
-    long_ = rows.where(is_long).withColumn("key", F.xxhash64("ending", "text"))
+    # equal texts have one key, so each is read once; written apart, they cost the listing one scan
+    long_ = stage(rows.where(is_long).withColumn("key", F.xxhash64("ending", "text"))).df
     distinct = long_.dropDuplicates(["key"])
     judged = long_.join(long_text_verdicts(distinct, size), "key")
     fine = judged.where("fine").select("repository_id", "path", "ending", F.lit(True).alias("stored"), F.lit(None).cast("string").alias("error"))
