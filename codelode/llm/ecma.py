@@ -74,7 +74,7 @@ _GENERIC = re.compile(r"\s*(?:,|extends\b)")
 _PRIVATE = re.compile(rf"#{_NAME}")
 _JSX_TEXT = re.compile(r"[^<{}>]*")
 _JSX_ATTR = re.compile(r"\s*(?:/\*.*?\*/\s*)*([A-Za-z_$][\w$:-]*)(\s*=\s*)?", re.S)
-_WORD = re.compile(rf"(?<![\w$]){_NAME}")
+_WORD = re.compile(rf"(?<![\w$])({_NAME})")
 _KEPT = {w: w for w in RESERVED + SOFT}
 _SPACES = re.compile(r"[ \t\f\v\u00a0\ufeff]*[\n\u2028\u2029]\s*")
 _BLANKS = re.compile(r"[ \t\f\v\u00a0\ufeff\u2000-\u200a\u3000]+")
@@ -247,7 +247,9 @@ def reduce_text(text: str, jsx: bool) -> str:
     if _LEFT_DIGIT.search(flat):
         raise Bad("number followed by a name")
     kept = _KEPT.get
-    flat = _WORD.sub(lambda m: kept(m[0], "a"), flat).replace("\x03", "0")
+    words = _WORD.split(flat)
+    words[1::2] = [kept(w, "a") for w in words[1::2]]
+    flat = "".join(words).replace("\x03", "0")
     return _BLANKS.sub(" ", _SPACES.sub("\n", flat))
 
 
@@ -1594,7 +1596,8 @@ def top_flags(flat: str, ts: bool) -> int:
 #: A list that repeats an item is as valid as one that has it twice; a line end after a comma means nothing.
 _REPEATED = re.compile(r"([^,\n]{1,12},)\1{2,}")
 _COMMA_LINE = re.compile(r", ?\n ?")
-_BRACKET = re.compile(r"([()\[\]{}])")
+#: A group without brackets in it, or a bracket of another.
+_BRACKET = re.compile(r"(\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}|[()\[\]{}])")
 _OPENS = {")": "(", "]": "[", "}": "{"}
 _BLANK_EDGE = " \n"
 #: Words that mostly begin a statement; one that goes on over a line end before such a word makes its pieces invalid.
@@ -1609,22 +1612,29 @@ def _grouped(flat: str, ts: bool) -> str:
     """The token classes with one character in place of each group, from the inside out."""
     outer: list[tuple[str, list[str]]] = []
     here: list[str] = []
-    for x in _BRACKET.split(flat):
-        if x in _OPENS:
+    parts = _BRACKET.split(flat)
+    for i in range(0, len(parts) - 1, 2):
+        if parts[i]:
+            here.append(parts[i])
+        x = parts[i + 1]
+        if len(x) > 1:
+            content, bracket = x[1:-1], x[0]
+        elif x in _OPENS:
             if not outer or outer[-1][0] != _OPENS[x]:
                 raise Bad("bracket closed that was not open")
-            content = "".join(here).strip(" ")
-            if len(content) > 40:
-                content = _REPEATED.sub(r"\1\1", _COMMA_LINE.sub(",", content))
+            content = "".join(here)
             bracket, here = outer.pop()
-            here.append(content_roles(bracket, content, ts))
-        elif x in ("(", "[", "{"):
+        else:
             outer.append((x, here))
             here = []
-        elif x:
-            here.append(x)
+            continue
+        content = content.strip(" ")
+        if len(content) > 40:
+            content = _REPEATED.sub(r"\1\1", _COMMA_LINE.sub(",", content))
+        here.append(content_roles(bracket, content, ts))
     if outer:
         raise Bad("bracket left open")
+    here.append(parts[-1])
     return "".join(here)
 
 

@@ -32,7 +32,7 @@ import json
 import re
 import warnings
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,9 +52,9 @@ SYNTAX_WORDS = (
 #: A word that binds a name for its whole module; in a function it is no concern of other statements.
 _GLOBAL = re.compile(r"(?:^|[:;])[ \t]*global\b", re.M)
 _SCOPE = re.compile(r"(?:async[ \t]+)?(?:def|class)\b|@")
-_FUTURE = re.compile(r"^from[ \t]+__future__[ \t]+import\b", re.M)
-#: Statements up to this length are remembered.
-_SHORT = 400
+_FUTURE = re.compile(r"^from[ \t]+__future__[ \t]+import\b.*", re.M)
+#: Statements are read together until they have so many characters, as each call of a parser has its cost.
+LEAST_PIECE = 512
 
 
 def _language(path: str) -> str | None:
@@ -82,36 +82,37 @@ def _compiled(text: str, flags: int = 0) -> str | None:
     return None
 
 
-_compiled_short = lru_cache(maxsize=50_000)(_compiled)
+def _future_flags(line: str) -> int:
+    """Flags of the features that a line names; the compiler has refused those that are none."""
+    names = re.findall(r"\w+", line.split("#")[0].split("import", 1)[1])
+    return sum({getattr(__future__, n).compiler_flag for n in names if n in __future__.all_feature_names})
 
 
-def _future_flags(piece: str) -> int:
-    """Flags of the features that a statement names; the compiler has refused those that are none."""
-    names = re.findall(r"\w+", piece.split("#")[0].split("import", 1)[1])
-    return sum({getattr(__future__, n).compiler_flag for n in names if n in __future__.all_feature_names})
+def _only_scopes(piece: str) -> bool:
+    """Whether all that stands at the margin begins a scope of its own, so no name is bound for the module."""
+    return all(line[:1] in ("", " ", "\t", "#", ")", "]", "}") or _SCOPE.match(line) for line in piece.split("\n"))
 
 
 def _python_statements(pieces: list[str], flags: int = 0, at_start: bool = True) -> bool:
     """Whether all are valid, with what one statement of a module means for the others."""
     for piece in pieces:
-        future = _FUTURE.match(piece)
-        if future and not at_start or _GLOBAL.search(piece) and not _SCOPE.match(piece):
+        if not at_start and _FUTURE.search(piece) or _GLOBAL.search(piece) and not _only_scopes(piece):
             return False
-        if (_compiled_short(piece, flags) if len(piece) <= _SHORT else _compiled(piece, flags)) is not None:
+        if _compiled(piece, flags) is not None:
             return False
-        if future:
-            flags |= _future_flags(piece)
-        elif at_start:
-            at_start = not piece.strip() or piece.lstrip()[0] in "#'\"" and ";" not in piece
+        # with the features it names, a first piece says how the others are read
+        flags |= sum(map(_future_flags, _FUTURE.findall(piece)))
+        at_start = at_start and not piece.strip()
     return True
 
 
 def _pieces(text: str, starts: list[int]) -> list[str]:
-    """The statements of a text; what decorates stays with what it decorates."""
+    """The statements of a text, short ones together; what decorates stays with what it decorates."""
     out: list[str] = []
-    begin = 0
+    begin = last = 0
     for at in starts:
-        if text[begin] != "@":
+        decorates, last = text[last] == "@", at
+        if not decorates and at - begin >= LEAST_PIECE:
             out.append(text[begin:at])
             begin = at
     out.append(text[begin:])
@@ -127,13 +128,10 @@ def _whole(text: str, ending: str) -> str | None:
         return "unknown"
 
 
-_whole_short = lru_cache(maxsize=50_000)(_whole)
-
-
 def _statements_valid(pieces: list[str], ending: str, at_start: bool = True) -> bool:
     if ending == "py":
         return _python_statements(pieces, at_start=at_start)
-    return all((_whole_short(piece, ending) if len(piece) <= _SHORT else _whole(piece, ending)) is None for piece in pieces)
+    return all(_whole(piece, ending) is None for piece in pieces)
 
 
 def judge(text: str, ending: str) -> str | None:
@@ -141,11 +139,13 @@ def judge(text: str, ending: str) -> str | None:
     text = _plain(text)
     if not text.strip():
         return None
-    # one chunk, entered in code
-    starts: list[tuple[int, int]] = []
-    fault = lexmap.verdict(lexmap.chunk_map(text, _lexer(ending), (lexmap.CODE,), starts))
-    if not fault and _statements_valid(_pieces(text, [at for at, closed in starts if not closed]), ending):
-        return None
+    if ending == "py":
+        # one chunk, entered in code
+        starts: list[tuple[int, int]] = []
+        fault = lexmap.verdict(lexmap.chunk_map(text, "python", (lexmap.CODE,), starts))
+        if not fault and _statements_valid(_pieces(text, [at for at, closed in starts if not closed]), ending):
+            return None
+    # of a script in one chunk the group reader's pass finds states, brackets and statements itself
     return _whole(text, ending)
 
 

@@ -48,7 +48,9 @@ PYTHON = [
 NO_PYTHON = ["x = 1\nfrom __future__ import annotations\n", "x = 1\nglobal x\n", "x = (1\ndef f():\n    pass\n", "from __future__ import nothing\n", "x = '''\n", "@a\nx = 1\n", "else:\n    a\n", "a = 1\n  b = 2\n", "x = 1 \\\n"]
 
 
-def test_statements_over_lines():
+@pytest.mark.parametrize("least", [1, 512])
+def test_statements_over_lines(monkeypatch, least):
+    monkeypatch.setattr(syntax, "LEAST_PIECE", least)
     for t in GOES_ON:
         assert syntax.judge(t, "ts") is None, t
     for t in PYTHON:
@@ -64,7 +66,9 @@ LINES = [
 ]
 
 
-def test_python_as_the_compiler_says():
+@pytest.mark.parametrize("least", [1, 20])
+def test_python_as_the_compiler_says(monkeypatch, least):
+    monkeypatch.setattr(syntax, "LEAST_PIECE", least)
     r = random.Random(7)
     valid = 0
     for _ in range(6000):
