@@ -45,11 +45,11 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.not_prose(table(spark, folder, "documents"))
+    return quality.not_prose(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
 
 
 def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.scored(table(spark, folder, "documents"))
+    return quality.scored(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_layout, p4_found, p4_rates, p5_found, p5_persons, p7_ids, p8_found, p8_items, p9_found, p9_statistics)}

@@ -4,6 +4,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -131,11 +132,36 @@ def test_ranks_equal_brute_force(spark):
     r = random.Random(4)
     words = "the a of is parser cache x1 {} ; zebra layer and".split()
     texts = [(i, " ".join(r.choice(words) for _ in range(r.randrange(1, 30)))) for i in range(120)]
-    rows = quality.scored(docs(spark, texts)).collect()
+    rows = quality.scored(docs(spark, texts + [(i, texts[3][1]) for i in range(200, 290)])).collect()
+    alone = [x for x in rows if x.doc_id < 200]
+    n = len(alone)
+    m = quality.REFERENCE_TEXTS + quality.REFERENCE_SHARE * n
     for row in rows:
-        want = 0.0
-        for s, tail in quality.TAILS.items():
-            v, vals = row[s], [x[s] for x in rows]
-            left, right = sum(x <= v for x in vals) / len(vals), sum(x >= v for x in vals) / len(vals)
-            want -= math.log({"left": left, "right": right, "both": min(1.0, 2 * min(left, right))}[tail])
+        want = -quality.CUT
+        for (s, tail), weight in zip(quality.TAILS.items(), quality.WEIGHTS):
+            v, vals, ref = row[s], [x[s] for x in alone], quality.REFERENCE[s]
+            left, right = ((sum(f(x) for x in vals) + m * sum(f(x) for x in ref) / 20) / (n + m) for f in (lambda x: x <= v, lambda x: x >= v))
+            want -= weight * math.log({"left": left, "right": right, "both": min(1.0, 2 * min(left, right))}[tail])
         assert row.score == pytest.approx(want, abs=1e-5)
+
+
+def test_languages_without_word_list(spark):
+    """Prose of a language with ranks of its own is no case for want of common words."""
+    polish = "Ten moduł odczytuje kolejne wiersze z pliku {} i zapisuje je do tabeli, którą potem sprawdza drugi proces. Nikt nie musi zmieniać ustawień numer {}, chyba że dysk jest pełny."
+    texts = [(i, " ".join([polish.format(i, i + 1)] * (1 + i % 3))) for i in range(80)]
+    assert quality.not_prose(docs(spark, texts, "pl")).collect() == []
+
+
+def test_labels_move_the_cut():
+    terms = np.abs(np.random.default_rng(1).normal(size=(4000, len(quality.TAILS)))) * 3
+    w = quality.fitted(terms, (terms.sum(axis=1) > 16).astype(float))
+    got = terms @ w[:-1] + w[-1] > 0
+    assert np.mean(got == (terms.sum(axis=1) > 16)) > 0.97
+    assert quality.fitted(np.zeros((0, 6)), np.zeros(0)).tolist() == [*quality.WEIGHTS, -quality.CUT]
+
+
+def test_labels_null_and_contradicting(spark):
+    labels = spark.createDataFrame([(1, "prose", "x"), (1, "list", "y"), (2, None, "x"), (None, "code", "x"), (3, "code", "x"), (3, "code", "x"), (99, "junk", "x")], "doc_id long, kind string, labeller string")
+    texts = [(1, PROSE * 3), (2, PROSE), (3, "def f(x):\n    return x\n" * 20), (4, None)]
+    assert [r.doc_id for r in quality.not_prose(docs(spark, texts), labels).collect()] == [3]
+    assert quality.not_prose(docs(spark, []), labels.limit(0)).collect() == []
