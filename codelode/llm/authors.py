@@ -2,9 +2,10 @@
 
 Distinct spellings are normalised to profiles (name tokens, address).  Equal
 owned addresses and equal full names link at once, as a star to the smallest
-profile of each key.  Names that differ are blocked by phonetic codes of their
-sorted tokens, addresses by what is left of them without one character, so no
-block holds more than near neighbours; candidates are compared with
+profile of each key.  Names that differ are blocked by the phonetic codes of
+their sorted tokens but one, with what that one shares with its slips, short
+forms and abbreviations, addresses by what is left of them without one
+character, so a block holds near neighbours only; candidates are compared with
 Jaro-Winkler, a table of short forms and a rule on abbreviations, and need
 evidence from an address, which must spell out the other name where the names
 differ by a letter and both are common.  Accepted pairs are clustered by connected
@@ -37,19 +38,22 @@ from codelode.staging import Staged, stage
 
 #: Common short forms of given names.
 SHORT_FORMS = {
-    "alexander": "alex xander sandy sasha al", "amara": "mara", "anthony": "tony ant", "benjamin": "ben benji benny", "christopher": "chris kit topher",
-    "daniel": "dan danny", "dmitri": "dima mitya", "elizabeth": "liz beth eliza betty lizzie", "francisco": "paco pancho cisco fran", "frederick": "fred freddy freddie",
-    "gabriela": "gabi gaby", "jennifer": "jen jenny", "johannes": "jo hans hannes", "jonathan": "jon jonny johnny", "jurgen": "jurg", "karim": "kari",
-    "katherine": "kate kathy katie kat", "leila": "lei", "lukasz": "luk lukas", "margaret": "maggie peggy meg greta", "mateo": "teo", "michael": "mike mick mickey mikey",
-    "milan": "mil", "nicholas": "nick nicky klaus", "oskar": "ossi", "petra": "pet", "quentin": "quinn", "rebecca": "becca becky", "renee": "ren", "robert": "rob bob bobby robbie",
-    "samantha": "sam sammy", "soren": "sor", "stefan": "steve stef steffen", "tariq": "tar", "theodora": "thea theo dora", "thomas": "tom tommy", "tomas": "tom tommy",
-    "viktor": "vik vic", "william": "will bill billy liam", "xenia": "xen", "yannick": "yann", "zainab": "zai", "james": "jim jimmy jamie", "john": "jack johnny",
-    "joseph": "joe joey", "richard": "rick dick rich", "edward": "ed eddie ted", "susan": "sue susie", "patricia": "pat patty trish", "andrew": "andy drew", "matthew": "matt", "joshua": "josh",
+    "alexander": ["alex", "xander", "sandy", "sasha", "al"], "amara": ["mara"], "anthony": ["tony", "ant"], "benjamin": ["ben", "benji", "benny"], "christopher": ["chris", "kit", "topher"],
+    "daniel": ["dan", "danny"], "dmitri": ["dima", "mitya"], "elizabeth": ["liz", "beth", "eliza", "betty", "lizzie"], "francisco": ["paco", "pancho", "cisco", "fran"], "frederick": ["fred", "freddy", "freddie"],
+    "gabriela": ["gabi", "gaby"], "jennifer": ["jen", "jenny"], "johannes": ["jo", "hans", "hannes"], "jonathan": ["jon", "jonny", "johnny"], "jurgen": ["jurg"],
+    "katherine": ["kate", "kathy", "katie", "kat"], "margaret": ["maggie", "peggy", "meg", "greta"], "mateo": ["teo"], "michael": ["mike", "mick", "mickey", "mikey"],
+    "nicholas": ["nick", "nicky", "klaus"], "oskar": ["ossi"], "quentin": ["quinn"], "rebecca": ["becca", "becky"], "robert": ["rob", "bob", "bobby", "robbie"],
+    "samantha": ["sam", "sammy"], "stefan": ["steve", "stef", "steffen"], "theodora": ["thea", "theo", "dora"], "thomas": ["tom", "tommy"], "tomas": ["tom", "tommy"],
+    "viktor": ["vik", "vic"], "william": ["will", "bill", "billy", "liam"], "yannick": ["yann"], "james": ["jim", "jimmy", "jamie"], "john": ["jack", "johnny"],
+    "joseph": ["joe", "joey"], "richard": ["rick", "dick", "rich"], "edward": ["ed", "eddie", "ted"], "susan": ["sue", "susie"], "patricia": ["pat", "patty", "trish"], "andrew": ["andy", "drew"],
+    "matthew": ["matt"], "joshua": ["josh"],
 }
 #: Local parts that stand for a role.
 ROLES = frozenset(
     "dev git root info build builds engineering admin noreply no-reply release support team ci hello contact security ops devops webmaster postmaster mail office sales unknown none nobody user test".split()
 )
+#: Second labels under which countries give out domains.
+SECOND_LEVEL = frozenset("ac co com edu gob gouv gov gv ltd net ne nom or org plc sch".split())
 AUTOMATIC = r"(?i)\[bot\]|(^|[-_. ])(bot|runner|mirror|daemon|automation)$"
 LEAST_SIMILARITY = 0.85
 #: Two name parts one letter apart are both established, neither a slip of the
@@ -70,7 +74,7 @@ def _plain(word: str) -> str:
 
 _SHORT: dict[str, frozenset[str]] = {}
 for _long, _forms in SHORT_FORMS.items():
-    for _form in _forms.split():
+    for _form in _forms:
         _SHORT[_plain(_form)] = _SHORT.get(_plain(_form), frozenset()) | {_plain(_long)}
 
 
@@ -93,7 +97,9 @@ def clean_address(address: str) -> tuple[str, str]:
     local, domain = text.split("@")
     local = local.split("+", 1)[1] if re.match(r"\d+\+", local) else local.split("+", 1)[0]
     parts = domain.split(".")
-    domain = ".".join(parts[-2:])
+    # the organisation's own label and what it is registered under
+    country = len(parts) > 2 and len(parts[-1]) == 2 and parts[-2] in SECOND_LEVEL
+    domain = ".".join(parts[-3 if country else -2 :])
     return ("", "") if local in ROLES or not local else (local, domain)
 
 
@@ -179,11 +185,12 @@ def same_name(a: list[str], b: list[str], partners: dict[str, int]) -> bool:
 
 def similarity(a: list[str], b: list[str]) -> float:
     """Largest Jaro-Winkler similarity of two names, short forms also read as what they stand for."""
-    def readings(words: list[str]) -> list[str]:
-        options = [[w, *_SHORT.get(w, ())] for w in words]
+    def readings(words: list[str], others: list[str]) -> list[str]:
+        # a word of three letters also stands for a longer one of the other name that begins with it
+        options = [[w, *_SHORT.get(w, ()), *(x for x in others if len(w) == 3 and len(x) > 4 and x.startswith(w))] for w in words]
         return [" ".join(sorted(x)) for x in product(*options)]
 
-    return max(jaro_winkler(x, y) for x in readings(a) for y in readings(b))
+    return max(jaro_winkler(x, y) for x in readings(a, b) for y in readings(b, a))
 
 
 def speaks_of(local: str, tokens: list[str]) -> bool:
@@ -247,19 +254,29 @@ def _star(nodes: DataFrame, *keys: str) -> DataFrame:
     return nodes.join(low, list(keys)).where("a < node").select("a", F.col("node").alias("b"))
 
 
+def _less(word: str) -> set[str]:
+    """The word and what is left of it without one letter: words one slip apart share one of them."""
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _name_blocks(full: pd.Series) -> pd.Series:
+    """Phonetic codes of the sorted other tokens, with what one token shares with its slips and short forms.
+
+    An abbreviation (``<``) and what it may stand for (``>``) meet across the two marks only.
+    """
     def keys(name: str) -> list[str]:
         words = name.split(" ")
-        codes = [phonetic(w) for w in words]
-        out = {"|".join(sorted(codes))}
+        out = set()
         for i, w in enumerate(words):
-            others = [x for j, x in enumerate(words) if j != i]
-            # one token may be misspelt or short: the others' codes and its first letter hold
-            out.add("|".join(sorted(phonetic(x) for x in others)) + "/" + w[:1])
-            for long_ in _SHORT.get(w, ()):
-                out.add("|".join(sorted([phonetic(long_)] + [phonetic(x) for x in others])))
-                out.add("|".join(sorted(phonetic(x) for x in others)) + "/" + long_[:1])
+            others = "|".join(sorted(phonetic(x) for j, x in enumerate(words) if j != i))
+            for long_ in {w} | _SHORT.get(w, frozenset()):
+                # as in the codes, the first letter holds
+                out |= {f"={others}/{long_[:1]}/{x}" for x in (_less(long_) if len(long_) >= 3 else {long_})}
+            if len(w) == 3:
+                out.add(f"<{others}/{w}")
+            elif len(w) > 4:
+                out.add(f">{others}/{w[:3]}")
         return sorted(out)
 
     return full.map(keys)
@@ -267,14 +284,18 @@ def _name_blocks(full: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _less_one(local: pd.Series) -> pd.Series:
-    return local.map(lambda s: sorted({s} | {s[:i] + s[i + 1 :] for i in range(len(s))}) if len(s) >= 5 else [s])
+    return local.map(lambda s: sorted(_less(s)) if len(s) >= 5 else [s])
+
+
+def _pairs_across(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    a = left.select(key, *[F.col(c).alias(f"{c}_a") for c in columns])
+    b = right.select(key, *[F.col(c).alias(f"{c}_b") for c in columns])
+    return a.join(b, key).drop(key)
 
 
 def _pair_rows(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Pairs of different rows that share a key, each once; rows are (node, key, columns)."""
-    a = df.select(key, *[F.col(c).alias(f"{c}_a") for c in columns])
-    b = df.select(key, *[F.col(c).alias(f"{c}_b") for c in columns])
-    return a.join(b, key).where(f"{columns[0]}_a < {columns[0]}_b").drop(key).distinct()
+    return _pairs_across(df, df, key, columns).where(f"{columns[0]}_a < {columns[0]}_b").distinct()
 
 
 def _check_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,9 +351,18 @@ def links(nodes: DataFrame) -> DataFrame:
     words = named.select("full", F.explode(F.split("full", " ")).alias("w")).distinct()
     counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     partners = words.join(counts, "w").groupBy("full").agg(F.sort_array(F.collect_set(F.struct("w", "n"))).alias("partners"))
-    orgs = named.join(org, "node", "left").groupBy("full").agg(F.min("org").alias("org"))
-    names = stage(orgs.join(partners, "full").withColumn("key", F.explode(_name_blocks("full")))).df
-    pairs = _pair_rows(names, "key", ["full", "partners", "org"]).where("org_a is null or org_b is null or org_a = org_b")
+    # a person may have had several employers; one in common is enough
+    code = F.when(F.col("org").isNotNull(), F.xxhash64("org"))
+    orgs = named.join(org, "node", "left").groupBy("full").agg(F.sort_array(F.collect_set(code)).alias("orgs"))
+    orgs = orgs.withColumn("orgs", F.when(F.size("orgs") > 0, F.col("orgs")))
+    names = stage(orgs.join(partners, "full").select("full", "partners", "orgs", F.explode(_name_blocks("full")).alias("key"))).df
+    mark, rest = F.left("key", F.lit(1)), F.substr("key", F.lit(2)).alias("key")
+    short, long_ = (names.where(mark == m).select("full", "partners", "orgs", rest) for m in "<>")
+    pairs = _pair_rows(names.where(mark == "=").select("full", "partners", "orgs", rest), "key", ["full", "partners", "orgs"])
+    turned = F.col("full_a") < F.col("full_b")
+    across = _pairs_across(short, long_, "key", ["full", "partners", "orgs"]).where("full_a <> full_b")
+    across = across.select(*[F.when(turned, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for c in ("full", "partners", "orgs") for x, y in ("ab", "ba")])
+    pairs = pairs.unionByName(across).distinct().where("orgs_a is null or orgs_b is null or arrays_overlap(orgs_a, orgs_b)")
     close = stage(pairs.mapInArrow(_check_names, "full_a string, full_b string, sure boolean")).df
     addresses = named.where("local <> ''").select("full", "local").distinct()
     evidence = (
