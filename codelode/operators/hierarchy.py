@@ -79,60 +79,87 @@ def _cycles(u: Staged, n: int) -> DataFrame:
     return a.join(b, F.col("a.ptr") == F.col("b.id")).select("a.id", F.col("b.low").alias("cycle_id"))
 
 
-def _chains(df: DataFrame, id_col: str, parent_col: str, name_col: str) -> tuple[DataFrame, DataFrame]:
-    """The resolved nodes with the ids and names from the root down, and the endless ones with their cycle.
+def _chains(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    """(id, ids) of the resolved nodes: the ids from the root down.
 
     Each round joins the open nodes with all and writes those only; what it
     resolves becomes another part of the result.
     """
-    start = _nodes(df, id_col, parent_col, F.coalesce(F.col(name_col), F.lit("")).alias("name"))
+    start = _nodes(df, id_col, parent_col)
     there = start.select(F.col("id").alias("ptr"), F.lit(True).alias("there"))
     # parents that are not in the table end the chain before the rounds begin, so these are inner joins,
     # in which the few open nodes of late rounds are broadcast if they are small
     nodes = start.join(there, "ptr", "left").withColumn("ptr", F.when(F.col("there"), F.col("ptr")))
     n_open = F.count_if(F.expr(OPEN))
-    s = stage(nodes.select("id", "ptr", F.col("ptr").alias("parent"), F.array("id").alias("ids"), F.array("name").alias("names")), n=n_open)
+    s = stage(nodes.select("id", "ptr", F.array("id").alias("ids")), n=n_open)
     parts, open_, left = [s], s.df.where(OPEN), s.seen["n"]
     while left:
         # a node stands open in the parts before the one that resolves it
         done = Staged.together(parts).where(f"not ({OPEN})")
         a, b = open_.alias("a"), done.unionByName(open_).alias("b")
-        joined = a.join(b, F.col("a.ptr") == F.col("b.id"))
-        jumped = stage(joined.select("a.id", "b.ptr", "a.parent", F.concat("b.ids", "a.ids").alias("ids"), F.concat("b.names", "a.names").alias("names")), n=n_open)
+        jumped = stage(a.join(b, F.col("a.ptr") == F.col("b.id")).select("a.id", "b.ptr", F.concat("b.ids", "a.ids").alias("ids")), n=n_open)
         parts.append(jumped)
         open_, now = jumped.df.where(OPEN), jumped.seen["n"]
         if now == left:
             break
         left = now
-    resolved = Staged.together(parts).where(f"not ({OPEN})")
-    if not left:
-        return resolved, resolved.select("id", F.col("id").alias("cycle_id")).where(F.lit(False))
-    links = open_.select("id", F.col("parent").alias("ptr"), F.col("id").alias("low"), F.lit(True).alias("moved"))
-    return resolved, _cycles(stage(links), left)
+    return Staged.together(parts).where(f"not ({OPEN})")
 
 
 def hierarchy(df: DataFrame, id_col: str, parent_col: str, name_col: str, separator: str = "/") -> DataFrame:
-    """(id, path, depth, root_id, n_descendants, cycle_id) of every node."""
-    trees, cycles = _chains(df, id_col, parent_col, name_col)
-    below = (
-        trees.select(F.explode(F.slice("ids", 1, F.size("ids") - 1)).alias("id"))
-        .groupBy("id")
-        .agg(F.count(F.lit(1)).alias("n_descendants"))
-    )
-    resolved = trees.join(below, "id", "left").select(
-        "id",
-        F.array_join("names", separator).alias("path"),
-        (F.size("ids") - 1).alias("depth"),
-        F.element_at("ids", 1).alias("root_id"),
-        F.coalesce("n_descendants", F.lit(0).cast("long")).alias("n_descendants"),
-        F.lit(None).cast("string").alias("cycle_id"),
+    """(id, path, depth, root_id, n_descendants, cycle_id) of every node.
+
+    A node carries the path and the distance to its pointer, and how many nodes
+    lie less than a jump below it.  In each round every open node adds that
+    number to its pointer, which so learns of those up to two jumps below.
+    """
+    start = _nodes(df, id_col, parent_col, F.coalesce(F.col(name_col), F.lit("")).alias("name"))
+    there = start.select(F.col("id").alias("ptr"), F.lit(True).alias("there"))
+    nodes = start.join(there, "ptr", "left").withColumn("ptr", F.when(F.col("there"), F.col("ptr")))
+    is_open, one = F.expr(OPEN), F.lit(1).cast("long")
+    s = stage(
+        nodes.select(
+            "id", "ptr", F.col("ptr").alias("parent"), F.col("name").alias("path"), F.when(is_open, 1).otherwise(0).alias("depth"),
+            F.when(~is_open, F.col("id")).alias("root_id"), one.alias("n"),
+        ),
+        left=F.count_if(is_open),
     )
-    return resolved.unionByName(cycles, allowMissingColumns=True)
+    parts, passed, open_, left = [s], [], s.df.where(OPEN), s.seen["left"]
+    while left:
+        # what lies below each pointer, one row a pointer
+        below = stage(open_.groupBy(F.col("ptr").alias("id")).agg(F.sum("n").alias("more")))
+        passed.append(below)
+        known = Staged.together(parts).where(f"not ({OPEN})").unionByName(open_)
+        a, b = open_.join(below.df, "id", "left").alias("a"), known.drop("n").alias("b")
+        joined = a.join(b, F.col("a.ptr") == F.col("b.id"))
+        jumped = stage(
+            joined.select(
+                "a.id", "b.ptr", "a.parent", F.concat_ws(separator, "b.path", "a.path").alias("path"), (F.col("a.depth") + F.col("b.depth")).alias("depth"), "b.root_id",
+                (F.col("a.n") + F.coalesce("a.more", F.lit(0))).alias("n"),
+            ),
+            left=F.count_if(is_open),
+        )
+        parts.append(jumped)
+        open_, now = jumped.df.where(OPEN), jumped.seen["left"]
+        if now == left:
+            break
+        left = now
+    resolved = Staged.together(parts).where(f"not ({OPEN})").select("id", "path", "depth", "root_id")
+    if passed:
+        counts = Staged.together(passed).groupBy("id").agg(F.sum("more").alias("n_descendants"))
+        resolved = resolved.join(counts, "id", "left").withColumn("n_descendants", F.coalesce("n_descendants", F.lit(0).cast("long")))
+    else:
+        resolved = resolved.withColumn("n_descendants", F.lit(0).cast("long"))
+    resolved = resolved.withColumn("cycle_id", F.lit(None).cast("string"))
+    if not left:
+        return resolved
+    links = open_.select("id", F.col("parent").alias("ptr"), F.col("id").alias("low"), F.lit(True).alias("moved"))
+    return resolved.unionByName(_cycles(stage(links), left), allowMissingColumns=True)
 
 
-def descendants(df: DataFrame, id_col: str, parent_col: str, name_col: str) -> DataFrame:
+def descendants(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     """(ancestor_id, descendant_id, distance) of every node and all nodes above it, cycles left out."""
-    trees, _ = _chains(df, id_col, parent_col, name_col)
+    trees = _chains(df, id_col, parent_col)
     up = trees.select("id", F.size("ids").alias("n"), F.posexplode("ids").alias("pos", "ancestor_id"))
     return up.where("pos < n - 1").select(
         "ancestor_id", F.col("id").alias("descendant_id"), (F.col("n") - 1 - F.col("pos")).alias("distance")

@@ -1,11 +1,14 @@
 """What changed between full snapshots of a table.
 
-Keys get persistent ordinals, dense and in key order, so that the keys of one
-owner lie next to each other.  A snapshot is then a set of ordinals, held as
-compressed bitmaps of 32 768 ordinals each, plus one vector of row values
-aligned with the set bits.  Of two consecutive snapshots, AND-NOT of the
-bitmaps gives additions and removals, and the vectors at the common ordinals
-expose changes.  No task holds more than one bitmap of two snapshots per row.
+Keys get persistent ordinals, dense and in key order within a delivery, so that
+the keys of one owner lie next to each other.  They are kept in an
+``OrdinalStore``; the next delivery finds the known ones there and numbers the
+new ones behind them.  A snapshot is then a set of ordinals, held as compressed
+bitmaps of 32 768 ordinals each, plus one vector of row values aligned with the
+set bits.  Of two consecutive snapshots, AND-NOT of the bitmaps gives additions
+and removals, and the vectors at the common ordinals expose changes.  The
+bitmaps of one range of ordinals come to one task in the order of the
+snapshots, which holds two of them at a time.
 
 Defined results (``snapshot_changes``)
 * Snapshots are the runs with a finished status, a start and a repository,
@@ -25,7 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelode.staging import Staged, stage
@@ -44,18 +48,18 @@ def clean_name(c: Column) -> Column:
     return F.regexp_replace(c, r"(^[\s ]+)|([\s ]+$)", "")
 
 
-def assign_ordinals(keys: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Distinct ``keys`` with a dense bigint ``ordinal``, from a table in the shared folder.
+def new_ordinals(keys: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The distinct ``keys`` that are not ``known``, with bigint ordinals behind the largest known one, in key order.
 
-    Keys of ``known`` (an earlier result) keep their ordinals; new ones follow
-    its largest, in key order.  The keys are range partitioned and sorted; the
-    partitions' offsets come from one count per partition.
+    The keys are range partitioned and sorted; the partitions' offsets come
+    from one count per partition.
     """
     cols = keys.columns
     new, base = keys.distinct(), 0
     if known is not None:
         new = new.join(known, cols, "left_anti")
-        base = (known.agg(F.max("ordinal")).first()[0] or -1) + 1
+        highest = known.agg(F.max("ordinal")).first()[0]
+        base = 0 if highest is None else highest + 1
     placed = stage(
         new.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("at", F.monotonically_increasing_id())
     )
@@ -66,12 +70,63 @@ def assign_ordinals(keys: DataFrame, known: DataFrame | None = None) -> DataFram
         offsets.append((p, total))
         total += n
     table = keys.sparkSession.createDataFrame(offsets, "part long, first long")
-    out = (
+    return (
         placed.df.withColumn("part", part)
         .join(F.broadcast(table), "part")
         .select(*cols, (F.col("first") + row).alias("ordinal"))
     )
-    return out if known is None else known.select(*cols, "ordinal").unionByName(out)
+
+
+def assign_ordinals(keys: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Distinct ``keys`` with a dense bigint ``ordinal``; those of ``known`` (an earlier result) keep theirs."""
+    out = new_ordinals(keys, known)
+    return out if known is None else known.select(*keys.columns, "ordinal").unionByName(out)
+
+
+class OrdinalStore:
+    """Keys and their ordinals in a shared folder, one part for each delivery that brought new ones.
+
+    A part is written apart and moved into its place; the move fails if another
+    delivery has taken the place, and the keys are then numbered again behind it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _fs(self):
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+        return at, at(self.path).getFileSystem(conf), jvm.org.apache.hadoop.fs.FileContext.getFileContext(at(self.path).toUri(), conf), jvm
+
+    def parts(self) -> list[str]:
+        at, fs, _, _ = self._fs()
+        if not fs.exists(at(self.path)):
+            return []
+        return sorted(f"{self.path}/{s.getPath().getName()}" for s in fs.listStatus(at(self.path)) if s.getPath().getName().startswith("part-"))
+
+    def known(self, columns: list[str]) -> DataFrame | None:
+        parts = self.parts()
+        return self.spark.read.parquet(*parts).select(*columns, "ordinal") if parts else None
+
+    def assign(self, keys: DataFrame) -> DataFrame:
+        """(key, ordinal) of all keys of the store, which afterwards holds those of ``keys`` too."""
+        for _ in range(10):
+            n, known = len(self.parts()), self.known(keys.columns)
+            fresh = stage(new_ordinals(keys, known), n=F.count(F.lit(1)))
+            if not fresh.seen["n"] and known is not None:
+                fresh.drop()
+                return known
+            at, fs, context, jvm = self._fs()
+            fs.mkdirs(at(self.path))
+            none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            try:
+                context.rename(at(fresh.path), at(f"{self.path}/part-{n:06d}"), none)
+            except Py4JJavaError:
+                fresh.drop()
+                continue
+            return self.known(keys.columns)
+        raise RuntimeError(f"{self.path} is being written by others all the time")
 
 
 # --- bitmaps -----------------------------------------------------------------------------------
@@ -129,70 +184,72 @@ def differences(before: bytes | None, v0: bytes | None, after: bytes | None, v1:
     return members(b & ~a), members(a & ~b), changed
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Changes between the snapshots of each range of ordinals, which come in order; a range without rows is empty."""
+    before: tuple | None = None
+    empty = (b"L", b"")
+
+    def close(row: tuple) -> Iterator[tuple]:
+        # in the snapshot after the last one seen nothing of the range is left
+        owner, box, seq, last, *held = row
+        if not last:
+            yield owner, seq + 1, box, differences(*held, *empty)
+
     for batch in batches:
+        found: list[tuple] = []
         low, val = batch.column("low"), batch.column("val")
-        bits, vectors = [], []
-        for i in range(batch.num_rows):
+        for i, (owner, box, seq, last) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("owner", "box", "seq", "last")))):
             at = np.asarray(low[i].values.to_numpy(zero_copy_only=False))
             order = np.argsort(at)
-            bits.append(pack(at[order]))
-            vectors.append(np.asarray(val[i].values.to_numpy(zero_copy_only=False))[order].astype("<i8").tobytes())
-        keep = [batch.column(c) for c in ("owner", "seq", "box")]
-        yield pa.record_batch([*keep, pa.array(bits, pa.binary()), pa.array(vectors, pa.binary())], names=["owner", "seq", "box", "bits", "vals"])
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = batch.to_pydict()
-        owner, seq, ordinal, kind = [], [], [], []
-        for i in range(batch.num_rows):
-            found = differences(*(rows[c][i] for c in ("bits0", "vals0", "bits1", "vals1")))
-            for name, at in zip(("added", "removed", "changed"), found):
-                if len(at):
-                    owner.append(np.full(len(at), rows["owner"][i], np.int64))
-                    seq.append(np.full(len(at), rows["seq"][i], np.int32))
-                    ordinal.append(at.astype(np.int64) + (rows["box"][i] << BITS))
-                    kind += [name] * len(at)
-        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        yield pa.record_batch(
-            [pa.array(cat(owner, np.int64)), pa.array(cat(seq, np.int32)), pa.array(cat(ordinal, np.int64)), pa.array(kind, pa.string())],
-            names=["owner", "seq", "ordinal", "change_kind"],
-        )
+            held = pack(at[order]), np.asarray(val[i].values.to_numpy(zero_copy_only=False))[order].astype("<i8").tobytes()
+            if before is not None and before[:3] == (owner, box, seq - 1):
+                found.append((owner, seq, box, differences(*before[4:], *held)))
+            else:
+                if before is not None:
+                    found += close(before)
+                if seq > 1:
+                    found.append((owner, seq, box, differences(*empty, *held)))
+            before = (owner, box, seq, last, *held)
+        yield _changes(found)
+    if before is not None:
+        yield _changes(list(close(before)))
+
+
+def _changes(found: list[tuple]) -> pa.RecordBatch:
+    owner, seq, ordinal, kind = [], [], [], []
+    for o, s, box, sets in found:
+        for name, at in zip(("added", "removed", "changed"), sets):
+            if len(at):
+                owner.append(np.full(len(at), o, np.int64))
+                seq.append(np.full(len(at), s, np.int32))
+                ordinal.append(at.astype(np.int64) + (box << BITS))
+                kind += [name] * len(at)
+    cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+    return pa.record_batch(
+        [pa.array(cat(owner, np.int64)), pa.array(cat(seq, np.int32)), pa.array(cat(ordinal, np.int64)), pa.array(kind, pa.string())],
+        names=["owner", "seq", "ordinal", "change_kind"],
+    )
 
 
 def compare_snapshots(facts: DataFrame) -> DataFrame:
     """(owner, seq, ordinal, change_kind) from (owner, seq, last, ordinal, val).
 
     ``seq`` counts the snapshots of an owner from 1; ``last`` marks the rows of
-    its last one.  A result row names the later snapshot of the pair.
+    its last one.  A result row names the later snapshot of the pair.  One
+    shuffle by range of ordinals serves the grouping and the order.
     """
     boxes = (
-        facts.groupBy("owner", "seq", F.shiftright("ordinal", BITS).alias("box"))
+        facts.withColumn("box", F.shiftright("ordinal", BITS))
+        .repartition("owner", "box")
+        .groupBy("owner", "box", "seq")
         .agg(
+            F.max("last").alias("last"),
             F.collect_list(F.col("ordinal").bitwiseAND(SPAN - 1).cast("int")).alias("low"),
             F.collect_list("val").alias("val"),
-            F.max("last").alias("last"),
         )
+        .sortWithinPartitions("owner", "box", "seq")
     )
-    packed = boxes.select(
-        "owner", F.when(F.col("last"), -F.col("seq")).otherwise(F.col("seq")).alias("seq"), "box", "low", "val"
-    ).mapInArrow(_encode, "owner long, seq int, box long, bits binary, vals binary")
-    # each bitmap stands once as the later and once as the earlier one of a pair
-    at = F.abs("seq")
-    sides = packed.select(
-        "owner", "box", "bits", "vals",
-        F.explode(F.when(F.col("seq") < 0, F.array(at)).otherwise(F.array(at, at + 1))).alias("pair"),
-        at.alias("seq"),
-    ).where("pair > 1")
-    later = F.col("seq") == F.col("pair")
-    pairs = sides.groupBy("owner", F.col("pair").alias("seq"), "box").agg(
-        F.max(F.when(~later, F.col("bits"))).alias("bits0"),
-        F.max(F.when(~later, F.col("vals"))).alias("vals0"),
-        F.max(F.when(later, F.col("bits"))).alias("bits1"),
-        F.max(F.when(later, F.col("vals"))).alias("vals1"),
-    )
-    return pairs.mapInArrow(_compare, "owner long, seq int, ordinal long, change_kind string")
+    return boxes.mapInArrow(_walk, "owner long, seq int, ordinal long, change_kind string")
 
 
 # --- symbols -----------------------------------------------------------------------------------
@@ -217,8 +274,11 @@ def numbered_runs(runs: DataFrame) -> Staged:
     )
 
 
-def snapshot_changes(symbols: DataFrame, files: DataFrame, runs: DataFrame) -> DataFrame:
-    """(repository_id, analysis_run_id, path, name, change_kind) of each two consecutive finished runs."""
+def snapshot_changes(symbols: DataFrame, files: DataFrame, runs: DataFrame, store: OrdinalStore | None = None) -> DataFrame:
+    """(repository_id, analysis_run_id, path, name, change_kind) of each two consecutive finished runs.
+
+    With a store the keys keep the ordinals that earlier deliveries gave them.
+    """
     numbered = numbered_runs(runs).df
     paths = (
         files.select(F.col("id").alias("file_id"), clean_path(F.col("path")).alias("path"))
@@ -240,7 +300,8 @@ def snapshot_changes(symbols: DataFrame, files: DataFrame, runs: DataFrame) -> D
         .drop("state")
     )
     facts = stage(keyed)
-    keys = assign_ordinals(facts.df.select("repository_id", "path", "name"))
+    names = facts.df.select("repository_id", "path", "name")
+    keys = assign_ordinals(names) if store is None else store.assign(names)
     found = compare_snapshots(facts.df.join(keys, ["repository_id", "path", "name"]))
     later = numbered.select("owner", "seq", "analysis_run_id", "repository_id")
     return (

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from codelode.operators import hierarchy, references, snapshots
 from codelode.sources.tables import table
+from codelode.staging import shared_dir
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,7 +20,9 @@ def p1_orphan_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return snapshots.snapshot_changes(*(table(spark, folder, t) for t in ("symbols", "files", "analysis_runs")))
+    # the keys of one source keep their ordinals from one delivery to the next
+    store = snapshots.OrdinalStore(spark, f"{shared_dir(spark)}/ordinals/{hashlib.sha256(folder.encode()).hexdigest()[:16]}/symbols")
+    return snapshots.snapshot_changes(*(table(spark, folder, t) for t in ("symbols", "files", "analysis_runs")), store)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,7 +36,7 @@ def p6_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    return hierarchy.descendants(table(spark, folder, "symbols"), "id", "parent_symbol_id", "name")
+    return hierarchy.descendants(table(spark, folder, "symbols"), "id", "parent_symbol_id")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_orphan_counts, p2_found, p6_found, p6_hierarchy, p6_descendants)}

@@ -39,7 +39,7 @@ def check(spark, links):
             assert (r.cycle_id, r.path, r.depth) == (c, None, None)
         else:
             assert (r.path, r.depth, r.root_id, r.n_descendants) == ("/".join("n" + x for x in chain), len(chain) - 1, chain[0], below.get(i, 0))
-    pairs = {(r.ancestor_id, r.descendant_id, r.distance) for r in H.descendants(df, "id", "parent_symbol_id", "name").collect()}
+    pairs = {(r.ancestor_id, r.descendant_id, r.distance) for r in H.descendants(df, "id", "parent_symbol_id").collect()}
     assert pairs == {(a, i, len(ch) - 1 - k) for i, (_, ch) in want.items() if ch for k, a in enumerate(ch[:-1])}
 
 
@@ -65,7 +65,7 @@ def test_repeats_nulls_and_empty(spark, rows):
     empty = spark.createDataFrame([], SCHEMA)
     assert rows(H.unending_chains(empty, "id", "parent_symbol_id")) == []
     assert rows(H.hierarchy(empty, "id", "parent_symbol_id", "name")) == []
-    assert rows(H.descendants(empty, "id", "parent_symbol_id", "name")) == []
+    assert rows(H.descendants(empty, "id", "parent_symbol_id")) == []
 
 
 def test_hot_parent(spark):

@@ -68,3 +68,50 @@ def test_changes(spark, rows):
 def test_empty(spark, rows):
     e = [spark.createDataFrame([], s) for s in (SYMBOL, FILE, RUN)]
     assert rows(S.snapshot_changes(*e)) == []
+
+
+def test_one_known_key(spark):
+    """A largest known ordinal of 0 is one, too."""
+    first = S.assign_ordinals(spark.createDataFrame([("a",)], "k string"))
+    got = {r.k: r.ordinal for r in S.assign_ordinals(spark.createDataFrame([("a",), ("b",), ("c",)], "k string"), first).collect()}
+    assert got == {"a": 0, "b": 1, "c": 2}
+
+
+def test_store_keeps_ordinals(spark, rows, tmp_path):
+    """Deliveries that bring nothing, one key, and many keys; no key is numbered twice or anew."""
+    store = S.OrdinalStore(spark, f"file://{tmp_path}/keys")
+    keys = lambda *k: spark.createDataFrame([(x, x * 2) for x in k], "a string, b string")
+    get = lambda df: {r.a: r.ordinal for r in df.collect()}
+    assert get(store.assign(keys("m"))) == {"m": 0}
+    assert get(store.assign(keys("m"))) == {"m": 0} and len(store.parts()) == 1
+    second = get(S.OrdinalStore(spark, store.path).assign(keys("m", "a", "z", "z")))
+    assert second == {"m": 0, "a": 1, "z": 2}
+    third = get(store.assign(keys(*(f"k{i}" for i in range(40)))))
+    assert {k: third[k] for k in second} == second and sorted(third.values()) == list(range(43))
+    assert get(S.OrdinalStore(spark, f"file://{tmp_path}/none").assign(keys())) == {}
+
+
+def test_store_gives_the_same_changes(spark, rows, tmp_path):
+    import random
+
+    r = random.Random(2)
+    runs, files, symbols, states = [], [], [], {}
+    for repo in "pq":
+        for n in range(1, 8):
+            run_id = f"{repo}{n}"
+            runs.append((run_id, repo, "completed", D(2024, 1, n), ""))
+            files.append((f"f{run_id}", "a/b.py", run_id, repo, ""))
+            states[repo, n] = {f"s{k}": r.randrange(1, 4) for k in range(r.randrange(0, 30)) if r.random() < 0.5} if n != 4 else {}
+            symbols += [(f"{run_id}{k}", f"f{run_id}", run_id, k, "function", 1, v, None, "") for k, v in states[repo, n].items()]
+    want = set()
+    for repo in "pq":
+        for n in range(2, 8):
+            a, b = states[repo, n - 1], states[repo, n]
+            want |= {(repo, f"{repo}{n}", "a/b.py", k, "added" if k not in a else "removed" if k not in b else "changed") for k in a.keys() | b.keys() if a.get(k) != b.get(k)}
+    tables = [spark.createDataFrame(x, s) for x, s in ((symbols, SYMBOL), (files, FILE), (runs, RUN))]
+    store = S.OrdinalStore(spark, f"file://{tmp_path}/keys")
+    some = [tables[0].where("name < 's2'"), *tables[1:]]
+    S.snapshot_changes(*some, store).collect()
+    for s in (None, store, store):
+        assert set(rows(S.snapshot_changes(*tables, s), "repository_id", "analysis_run_id", "path", "name", "change_kind")) == want
+    assert len(store.parts()) == 2
