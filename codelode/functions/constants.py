@@ -1,18 +1,21 @@
 """Lists, tables and patterns that results depend on."""
 
 # Directories a scan does not enter.
-IGNORED_DIRECTORIES = (
-    ".git .svn .hg node_modules .next dist build out coverage __pycache__ .pytest_cache .venv venv env target vendor .gradle .mvn bin obj "
-    ".nuget packages .idea .vscode .vs .cache .tmp tmp temp"
-).split()
+IGNORED_DIRECTORIES = [
+    ".git", ".svn", ".hg", "node_modules", ".next", "dist", "build", "out", "coverage", "__pycache__", ".pytest_cache", ".venv", "venv", "env",
+    "target", "vendor", ".gradle", ".mvn", "bin", "obj", ".nuget", "packages", ".idea", ".vscode", ".vs", ".cache", ".tmp", "tmp", "temp",
+]
 # Extensions of binary files.
-BINARY_EXTENSIONS = (
-    ".png .jpg .jpeg .gif .bmp .ico .svg .webp .tiff .tif .mp3 .wav .flac .aac .ogg .m4a .wma .mp4 .avi .mov .wmv .flv .mkv .webm .m4v "
-    ".zip .tar .gz .bz2 .7z .rar .xz .tgz .exe .dll .so .dylib .bin .app .pdf .doc .docx .xls .xlsx .ppt .pptx .woff .woff2 .ttf .otf .eot "
-    ".db .sqlite .sqlite3 .pyc .pyo .class .o .a .lib"
-).split()
+BINARY_EXTENSIONS = [
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".svg", ".webp", ".tiff", ".tif", ".mp3", ".wav", ".flac", ".aac", ".ogg", ".m4a", ".wma",
+    ".mp4", ".avi", ".mov", ".wmv", ".flv", ".mkv", ".webm", ".m4v", ".zip", ".tar", ".gz", ".bz2", ".7z", ".rar", ".xz", ".tgz", ".exe", ".dll",
+    ".so", ".dylib", ".bin", ".app", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".woff", ".woff2", ".ttf", ".otf", ".eot", ".db",
+    ".sqlite", ".sqlite3", ".pyc", ".pyo", ".class", ".o", ".a", ".lib",
+]
 # Files that hold secrets.
-SENSITIVE_FILES = ".env .env.local .env.development .env.production .env.test secrets.json credentials.json .npmrc .pypirc".split()
+SENSITIVE_FILES = [
+    ".env", ".env.local", ".env.development", ".env.production", ".env.test", "secrets.json", "credentials.json", ".npmrc", ".pypirc",
+]
 # Language of an extension.
 LANGUAGES = {
     ".js": "JavaScript", ".jsx": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".html": "HTML", ".htm": "HTML", ".css": "CSS",
@@ -26,7 +29,9 @@ LANGUAGES = {
     ".m": "Objective-C", ".mm": "Objective-C++",
 }
 # What makes a path that of a test, for change detection and for test detection.
-CHANGE_TEST_DIRS = "test tests __tests__ spec specs test_ e2e integration".split()
+CHANGE_TEST_DIRS = [
+    "test", "tests", "__tests__", "spec", "specs", "test_", "e2e", "integration",
+]
 CHANGE_TEST_NAMES = ["test_", "_test", ".test.", ".spec.", "_spec"]
 TEST_DIRS = [*CHANGE_TEST_DIRS, "unit"]
 TEST_NAMES = [*CHANGE_TEST_NAMES, "test.", "spec."]
@@ -38,11 +43,23 @@ FRAMEWORKS = {
 }
 DEFAULT_FRAMEWORKS = {"Python": "pytest", "JavaScript": "jest", "TypeScript": "jest", "Java": "junit", "Go": "go_test", "Rust": "cargo_test"}
 # Substrings of paths.
-SECURITY_PATHS = "auth login password token jwt oauth security permission role access credential encrypt decrypt hash crypto session".split()
-DATABASE_PATHS = "model schema migration database db query repository dao entity orm alembic sqlalchemy sequelize prisma".split()
-PAYMENT_PATHS = "payment billing invoice checkout cart stripe paypal transaction charge refund".split()
-NON_SOURCE_PATHS = ".md .txt .json .yaml .yml .toml .xml .ini .cfg .conf license readme dockerfile .dockerignore .gitignore".split()
-SOURCE_LANGUAGES = "Python JavaScript TypeScript Java Go Rust C C++ C# Ruby PHP Swift Kotlin".split()
+SECURITY_PATHS = [
+    "auth", "login", "password", "token", "jwt", "oauth", "security", "permission", "role", "access", "credential", "encrypt", "decrypt", "hash",
+    "crypto", "session",
+]
+DATABASE_PATHS = [
+    "model", "schema", "migration", "database", "db", "query", "repository", "dao", "entity", "orm", "alembic", "sqlalchemy", "sequelize", "prisma",
+]
+PAYMENT_PATHS = [
+    "payment", "billing", "invoice", "checkout", "cart", "stripe", "paypal", "transaction", "charge", "refund",
+]
+NON_SOURCE_PATHS = [
+    ".md", ".txt", ".json", ".yaml", ".yml", ".toml", ".xml", ".ini", ".cfg", ".conf", "license", "readme", "dockerfile", ".dockerignore",
+    ".gitignore",
+]
+SOURCE_LANGUAGES = [
+    "Python", "JavaScript", "TypeScript", "Java", "Go", "Rust", "C", "C++", "C#", "Ruby", "PHP", "Swift", "Kotlin",
+]
 # Patterns of failures, tried in this order.
 FAILURE_PATTERNS = {
     "assertion": [r"AssertionError", r"assert\s+", r"assertEqual", r"assertNotEqual", r"assertTrue", r"assertFalse", r"expect\(.*\)\.to", r"Expected.*but got", r"expected.*actual"],
@@ -83,8 +100,11 @@ SECRET_PATTERNS = [
     (r"(?i)(AIzaSy[a-zA-Z0-9_\-]{33})", "***REDACTED_GEMINI_KEY***"),
     (r"(?i)(sk-[a-zA-Z0-9]{48})", "***REDACTED_OPENAI_KEY***"),
 ]
-# Risk signals with weight and severity; a score of 86, 61 and 31 is critical, high and medium.
-RISK_WEIGHTS = {"public_api": 25, "high_fanout": 20, "workflows": 15, "security": 20, "database": 15, "payment": 20, "many_files": 10, "large_change": 10, "missing_tests": 15}
+# Risk signals with their weight; a score of 86, 61 and 31 is critical, high and medium.
+RISK_WEIGHTS = {
+    "public_api_change": 25, "high_fanout_symbol": 20, "workflow_entry_affected": 15, "security_code_change": 20, "database_code_change": 15,
+    "payment_code_change": 20, "many_files_changed": 10, "large_change_size": 10, "missing_test_changes": 15,
+}
 RISK_LEVELS = ((86, "critical"), (61, "high"), (31, "medium"))
 # Suffixes tried for a relative import.
 IMPORT_SUFFIXES = ["", ".js", ".ts", ".jsx", ".tsx", ".py", "/index.js", "/index.ts"]

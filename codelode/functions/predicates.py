@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions import constants as K
@@ -126,22 +126,58 @@ def failure_class(kind: Column, message: Column, trace: Column) -> Column:
     return out.otherwise(F.struct(F.lit("unknown").alias("failure_class"), F.lit("0.50").cast("decimal(3,2)").alias("confidence")))
 
 
-def intent(question: Column, has_context: Column) -> Column:
-    """Struct of intent and confidence: most matching patterns, the earlier intent on a tie."""
-    scores = [
-        F.struct(sum((question.rlike("(?i)" + p).cast("int") for p in patterns), F.lit(0)).alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("intent"))
+def _plain_words(pattern: str) -> list[str] | None:
+    """The alternatives of a pattern that only asks for one of some words; null for any other pattern."""
+    m = re.fullmatch(r"\\b\(([A-Za-z|]+)\)\\b", pattern)
+    return [w.lower() for w in m[1].split("|")] if m else None
+
+
+def _literal_words(pattern: str) -> list[str]:
+    """The words written in a pattern; a text that matches holds one of them, as each alternative has one."""
+    return sorted({w.lower() for w in re.findall(r"[A-Za-z0-9]{2,}", re.sub(r"\\[a-zA-Z]", " ", pattern))})
+
+
+def matches_any(text: Column, words: Column, patterns: list[str]) -> list[Column]:
+    """Whether each of the patterns occurs in the text, whatever the case; ``words`` are the distinct words of the text.
+
+    Patterns of plain words ask the words only; the others read the text only
+    where one of their words is there.
+    """
+    out = []
+    for p in patterns:
+        plain = _plain_words(p)
+        hit = F.arrays_overlap(words, F.array(*[F.lit(w) for w in plain or _literal_words(p)]))
+        out.append(hit if plain else hit & text.rlike("(?i)" + p))
+    return out
+
+
+def words_of(text: Column) -> Column:
+    """The distinct runs of ASCII letters, digits and ``_`` of a text, in lower case."""
+    return F.array_distinct(F.split(F.lower(text), "[^a-z0-9_]+"))
+
+
+def intents(questions: DataFrame, question: str, has_context: Column) -> DataFrame:
+    """The rows with ``intent`` and ``confidence``: most matching patterns, the earlier intent on a tie."""
+    text = F.col(question)
+    # the words are a column of their own, so they are split off once for all patterns
+    rows = questions.withColumn("_context", has_context).withColumn("_words", words_of(text))
+    words = F.col("_words")
+    counts = [
+        F.struct(sum((c.cast("int") for c in matches_any(text, words, patterns)), F.lit(0)).alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("intent"))
         for i, (name, patterns) in enumerate(K.INTENT_PATTERNS.items())
     ]
-    best = F.array_max(F.array(*scores))
-    short = (F.size(F.filter(F.split(F.trim(question), r"\s+"), lambda w: w != "")) <= 4) & has_context
-    about = lambda patterns: question.rlike("(?i)" + "|".join(patterns))
+    short = (F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")) <= 4) & F.col("_context")
+    rows = rows.withColumn("_best", F.array_max(F.array(*counts))).withColumn("_short", short)
+    best = F.col("_best")
+    about = lambda patterns: F.col("_short") & text.rlike("(?i)" + "|".join(patterns))
     answer = lambda name, c: F.struct(F.lit(name).alias("intent"), c.alias("confidence"))
-    return (
-        F.when(short & about(K.CONTEXT_DEPENDENCY), answer("dependency_question", F.lit(0.7)))
-        .when(short & about(K.CONTEXT_DETAIL), answer("symbol_explanation", F.lit(0.7)))
+    said = (
+        F.when(about(K.CONTEXT_DEPENDENCY), answer("dependency_question", F.lit(0.7)))
+        .when(about(K.CONTEXT_DETAIL), answer("symbol_explanation", F.lit(0.7)))
         .when(best["score"] > 0, F.struct(best["intent"].alias("intent"), F.least(best["score"] / 2.0, F.lit(1.0)).alias("confidence")))
         .otherwise(answer("unknown", F.lit(0.5)))
     )
+    return rows.withColumn("_i", said).select(*questions.columns, "_i.intent", "_i.confidence")
 
 
 def is_sufficient(answer: Column, n_evidence: Column) -> Column:

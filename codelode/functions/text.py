@@ -162,3 +162,13 @@ def vector_cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     return dot / F.nullif(norm(a) * norm(b), F.lit(0.0))
+
+
+def progress(value: Column) -> Column:
+    """A percentage within its bounds; 0 where it is missing."""
+    return F.least(F.greatest(F.coalesce(value, F.lit(0)), F.lit(0)), F.lit(100))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """A share as whole per cent, such as ``75%``; null of nothing."""
+    return F.when(whole > 0, F.concat(F.round(100 * part / whole).cast("long").cast("string"), F.lit("%")))

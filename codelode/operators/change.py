@@ -67,9 +67,9 @@ def risk(changed: DataFrame, n_endpoints: Column, n_public: Column, n_workflows:
         F.bool_or(P.is_source_file(path, F.col("language"))).alias("source"), F.bool_or(P.is_changed_test(path)).alias("tests"),
     )
     signals = {
-        "public_api": F.col("n_endpoints") > 0, "high_fanout": F.col("n_public") >= 5, "workflows": F.col("n_workflows") > 0, "security": F.col("security"),
-        "database": F.col("database"), "payment": F.col("payment"), "many_files": F.col("n_files") > 10, "large_change": F.col("n_lines") > 500,
-        "missing_tests": F.col("source") & ~F.col("tests"),
+        "public_api_change": F.col("n_endpoints") > 0, "high_fanout_symbol": F.col("n_public") >= 5, "workflow_entry_affected": F.col("n_workflows") > 0, "security_code_change": F.col("security"),
+        "database_code_change": F.col("database"), "payment_code_change": F.col("payment"), "many_files_changed": F.col("n_files") > 10, "large_change_size": F.col("n_lines") > 500,
+        "missing_test_changes": F.col("source") & ~F.col("tests"),
     }
     score = F.least(sum((F.when(c, K.RISK_WEIGHTS[k]).otherwise(0) for k, c in signals.items()), F.lit(0)), F.lit(100))
     level = F.lit("low")

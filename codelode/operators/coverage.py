@@ -1,9 +1,9 @@
 """Which tests belong to which source files: by import, by module, by name, by place.
 
 ``tests`` has path, name, source, imported_names: one row for each test and
-import of its file.  The equality parts of all rules are equi-joins on derived
-keys; only the substring rule of modules is a nested loop, against the changed
-files, whose number is checked.
+import of its file.  All rules are equi-joins on derived keys: a module is
+named within another, or a symbol within the name of a test, as a run of whole
+parts, and the runs of a name are few.
 """
 
 from __future__ import annotations
@@ -14,15 +14,6 @@ from pyspark.sql import functions as F
 from codelode.functions import predicates as P
 from codelode.functions import text as X
 
-#: Most changed files that are broadcast for the substring rule; beyond it the rule is left to the shuffle join.
-MOST_BROADCAST = 10_000
-
-
-def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """The table with a broadcast hint if it has no more rows than the bound."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def test_inventory(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """(file_id, path, framework, n_tests, n_imports) of the test files."""
     tests = files.where(P.is_test_file(F.col("path"))).select("file_id", "path", "language")
@@ -42,11 +33,31 @@ def by_import(tests: DataFrame, symbols: DataFrame) -> DataFrame:
     return used.join(symbols.select(F.col("name").alias("target")).distinct(), "target", "left_semi").select("path", "name", "target").distinct()
 
 
+def _segments(module: Column) -> Column:
+    """The parts of a module name or import path between dots and slashes, without empty ones and marks of folders."""
+    return F.filter(F.split(F.regexp_replace(module, r"\.(py|js|jsx|ts|tsx)$", ""), r"[./\\]+"), lambda x: x != "")
+
+
+def _runs_of(parts: Column) -> Column:
+    """All runs of neighbouring parts, joined by dots; a name of n parts has n (n + 1) / 2."""
+    n = F.size(parts)
+    every = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(i, F.greatest(n, i)), lambda j: F.array_join(F.slice(parts, i, j - i + 1), ".")))
+    return F.when(n > 0, F.array_distinct(F.flatten(every))).otherwise(F.array().cast("array<string>"))
+
+
 def by_module(tests: DataFrame, sources: DataFrame) -> DataFrame:
-    """(path, target): test files one of whose imports holds the module of a source file, or the reverse."""
-    mods = small(sources.select(F.col("path").alias("target"), X.module_of(F.col("path")).alias("module")).distinct())
-    used = tests.select("path", "source").where("source <> ''").distinct()
-    return used.join(mods, F.contains("source", "module") | F.contains("module", "source")).select("path", "target").distinct()
+    """(path, target): test files one of whose imports holds the module of a source file as a run of whole parts, or the reverse.
+
+    Either name that is part of the other is one of its runs, so both
+    directions are equi-joins; no pair of names is compared.
+    """
+    mods = sources.select(F.col("path").alias("target"), _segments(X.module_of(F.col("path"))).alias("parts")).where(F.size("parts") > 0).distinct()
+    used = tests.select("path", _segments(F.col("source")).alias("parts")).where(F.size("parts") > 0).distinct()
+    whole = lambda df: df.withColumn("key", F.array_join("parts", ".")).drop("parts")
+    runs = lambda df: df.withColumn("key", F.explode(_runs_of(F.col("parts")))).drop("parts").distinct()
+    inside = runs(used).join(whole(mods), "key")
+    around = whole(used).join(runs(mods), "key")
+    return inside.select("path", "target").unionByName(around.select("path", "target")).distinct()
 
 
 def sibling_key(path: Column) -> Column:
@@ -87,11 +98,20 @@ def tests_of_sources(tests: DataFrame, symbols: DataFrame, sources: DataFrame) -
     )
 
 
+def name_words(name: Column) -> Column:
+    """The words of a name at its case changes and signs, in lower case."""
+    spaced = F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2"), r"([A-Z]+)([A-Z][a-z])", "$1_$2")
+    return F.filter(F.split(F.lower(spaced), r"[^a-z0-9]+"), lambda x: x != "")
+
+
 def tests_of_symbols(tests: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(path, name, target, confidence): tests that import the symbol, else those whose name holds it."""
+    """(path, name, target, confidence): tests that import the symbol, else those whose name holds its words in a row."""
     direct = by_import(tests, symbols).withColumn("rank", F.lit(0))
-    wanted = small(symbols.select(F.lower("name").alias("low"), F.col("name").alias("target")).where(F.length("name") > 2).distinct())
-    named = tests.select("path", "name").distinct().join(wanted, F.contains(F.lower("name"), F.col("low"))).select("path", "name", "target", F.lit(1).alias("rank"))
+    key = lambda c: F.array_join(name_words(c), "_")
+    wanted = symbols.select(key(F.col("name")).alias("key"), F.col("name").alias("target")).where((F.length("name") > 2) & (F.col("key") != "")).distinct()
+    words = tests.select("path", "name", name_words(F.col("name")).alias("parts")).distinct()
+    runs = words.select("path", "name", F.explode(_runs_of(F.col("parts"))).alias("run")).select("path", "name", F.replace("run", F.lit("."), F.lit("_")).alias("key"))
+    named = runs.join(wanted, "key").select("path", "name", "target", F.lit(1).alias("rank")).distinct()
     best = direct.unionByName(named).groupBy("path", "name", "target").agg(F.min("rank").alias("rank"))
     return best.withColumn("confidence", F.when(F.col("rank") == 0, "high").otherwise("low")).drop("rank")
 

@@ -8,16 +8,15 @@ end with an empty frontier or the depth, which is cut to MOST_DEPTH.
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import constants as K
 from codelode.functions import text as X
 from codelode.operators.ordering import top_of
-from codelode.staging import stage
+from codelode.staging import Staged, stage
 
 MOST_DEPTH = 10
 
@@ -48,30 +47,51 @@ def fixed(edges: DataFrame | Fixed) -> DataFrame:
     return fix(edges).df
 
 
-def reach(seeds: DataFrame, edges: DataFrame | Fixed, depth: int, direction: str = "down") -> DataFrame:
-    """(seed, node, depth): nodes reached from each seed, with the least depth; the seed itself at 0.
+def _levels(start: DataFrame, steps: DataFrame, keys: list[str], depth: int) -> DataFrame:
+    """Rows (keys, node, depth) reached from those of ``start`` by (keys of steps, node, next), each with its least depth.
 
-    ``seeds`` has one column; ``edges`` has src and dst.
+    One job a level: it joins the frontier, leaves out what was seen, and counts
+    what it writes; all levels are read again as one scan.
     """
-    depth = min(max(depth, 1), MOST_DEPTH)
-    a, b = ("src", "dst") if direction == "down" else ("dst", "src")
-    steps = fixed(edges).select(F.col(a).alias("node"), F.col(b).alias("next"))
-    seed = seeds.columns[0]
-    found = [stage(seeds.select(F.col(seed).alias("seed"), F.col(seed).alias("node"), F.lit(0).alias("depth")).distinct())]
+    with_way = [c for c in keys if c in steps.columns]
+    found = [stage(start.select(*keys, "node", F.lit(0).alias("depth")).distinct())]
     for level in range(1, depth + 1):
-        seen = reduce(DataFrame.unionByName, [t.df for t in found]).select("seed", "node")
         nxt = (
-            found[-1].df.join(steps, "node")
-            .select("seed", F.col("next").alias("node"))
+            found[-1].df.join(steps, [*with_way, "node"])
+            .select(*keys, F.col("next").alias("node"))
             .distinct()
-            .join(seen, ["seed", "node"], "left_anti")
+            .join(Staged.together(found).select(*keys, "node"), [*keys, "node"], "left_anti")
             .withColumn("depth", F.lit(level))
         )
         t = stage(nxt, n=F.count(F.lit(1)))
         if not t.seen["n"]:
             break
         found.append(t)
-    return reduce(DataFrame.unionByName, [t.df for t in found])
+    return Staged.together(found)
+
+
+def reach(seeds: DataFrame, edges: DataFrame | Fixed, depth: int, direction: str = "down") -> DataFrame:
+    """(seed, node, depth): nodes reached from each seed, with the least depth; the seed itself at 0.
+
+    ``seeds`` has one column; ``edges`` has src and dst.
+    """
+    depth = min(max(depth, 1), MOST_DEPTH)
+    a, b = ("src", "dst") if direction == "down" else ("dst", "src")
+    steps = fixed(edges).select(F.col(a).alias("node"), F.col(b).alias("next"))
+    seed = F.col(seeds.columns[0])
+    return _levels(seeds.select(seed.alias("seed"), seed.alias("node")), steps, ["seed"], depth)
+
+
+def reach_both(seeds: DataFrame, edges: DataFrame | Fixed, depth: int) -> DataFrame:
+    """(way, seed, node, depth): as ``reach``, up and down in the same levels."""
+    depth = min(max(depth, 1), MOST_DEPTH)
+    e = fixed(edges)
+    steps = e.select(F.lit("down").alias("way"), F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(
+        e.select(F.lit("up").alias("way"), F.col("dst").alias("node"), F.col("src").alias("next"))
+    )
+    seed = F.col(seeds.columns[0])
+    start = seeds.select(F.explode(F.array(F.lit("down"), F.lit("up"))).alias("way"), seed.alias("seed"), seed.alias("node"))
+    return _levels(start, steps, ["way", "seed"], depth)
 
 
 def reached_edges(seeds: DataFrame, edges: DataFrame | Fixed, depth: int, direction: str = "down") -> DataFrame:
@@ -96,15 +116,11 @@ def blast_radius(seeds: DataFrame, edges: DataFrame | Fixed, depth: int = 5) ->
 
 def impact(seeds: DataFrame, edges: DataFrame | Fixed, depth: int = 3, most_nodes: int = 500) -> DataFrame:
     """(seed, node, category, depth): callers before callees, each node in the first category that claims it."""
-    edges = fix(edges)
-    parts = []
-    for rank, (direction, far) in enumerate((("up", "caller"), ("down", "callee"))):
-        r = reach(seeds, edges, depth, direction).where(F.col("depth") > 0)
-        direct = F.col("depth") == 1
-        parts.append(
-            r.withColumn("category", F.when(direct, f"direct_{far}").otherwise(f"transitive_{far}")).withColumn("rank", F.when(direct, 2 * rank).otherwise(2 * rank + 1))
-        )
-    first = parts[0].unionByName(parts[1]).groupBy("seed", "node").agg(F.min(F.struct("rank", "category", "depth")).alias("r"))
+    r = reach_both(seeds, edges, depth).where(F.col("depth") > 0)
+    direct, up = F.col("depth") == 1, F.col("way") == "up"
+    rank = F.when(up, 0).otherwise(2) + F.when(direct, 0).otherwise(1)
+    category = F.concat(F.when(direct, "direct_").otherwise("transitive_"), F.when(up, "caller").otherwise("callee"))
+    first = r.groupBy("seed", "node").agg(F.min(F.struct(rank.alias("rank"), category.alias("category"), "depth")).alias("r"))
     rows = first.select("seed", "node", "r.rank", "r.category", "r.depth")
     return top_of(rows, ["seed"], most_nodes, F.col("rank"), F.col("depth"), F.col("node")).drop("rank")
 
@@ -135,21 +151,28 @@ def workflow(seeds: DataFrame, edges: DataFrame | Fixed, depth: int = 5, most_no
 
 
 def tree_paths(seeds: DataFrame, edges: DataFrame | Fixed, depth: int = 3) -> DataFrame:
-    """(seed, node, depth, path, again): calls unfolded from the seed; a node already on its path is shown once more and not opened."""
+    """(seed, node, depth, path, again): calls unfolded from the seed, each node opened once for a seed.
+
+    A node is opened where it stands least deep, below the smallest caller
+    there; wherever else it stands it is shown once more and not opened.  So the
+    tree has a row for each edge that is taken, however many ways there are.
+    """
     steps = fixed(edges).select(F.col("src").alias("node"), F.col("dst").alias("next"))
     seed = seeds.columns[0]
     start = seeds.select(F.col(seed).alias("seed"), F.col(seed).alias("node"), F.lit(0).alias("depth"), F.array(seed).alias("path"), F.lit(False).alias("again"))
-    levels = [stage(start)]
+    levels = [stage(start.distinct())]
     for level in range(1, min(depth, MOST_DEPTH) + 1):
-        open_ = levels[-1].df.where("not again")
-        nxt = open_.join(steps, "node").select(
-            "seed", F.col("next").alias("node"), F.lit(level).alias("depth"), F.concat("path", F.array("next")).alias("path"), F.array_contains("path", F.col("next")).alias("again")
+        opened = Staged.together(levels).where("not again").select("seed", F.col("node").alias("next"), F.lit(True).alias("seen"))
+        first = F.row_number().over(Window.partitionBy("seed", "next").orderBy("node")) == 1
+        nxt = levels[-1].df.where("not again").join(steps, "node").join(opened, ["seed", "next"], "left").withColumn("first", first)
+        t = stage(
+            nxt.select("seed", F.col("next").alias("node"), F.lit(level).alias("depth"), F.concat("path", F.array("next")).alias("path"), (F.col("seen").isNotNull() | ~F.col("first")).alias("again")),
+            n=F.count(F.lit(1)),
         )
-        t = stage(nxt, n=F.count(F.lit(1)))
         if not t.seen["n"]:
             break
         levels.append(t)
-    return reduce(DataFrame.unionByName, [t.df for t in levels])
+    return Staged.together(levels)
 
 
 # --- imports -----------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,34 +22,66 @@ def semantic(chunks: DataFrame, query: list[float], top_k: int = 10, where: Colu
     return kept.select("chunk_id", F.round(score, 6).alias("semantic_score")).where("semantic_score is not null").orderBy(F.desc("semantic_score"), "chunk_id").limit(min(top_k, MOST))
 
 
-def query_terms(query: str) -> tuple[list[str], list[str], list[str]]:
-    """Required words, required phrases and excluded words of a web-style query."""
+def query_terms(query: str) -> tuple[list[list[str]], list[str], list[str]]:
+    """Required words with their alternatives (``a or b``), required phrases and excluded words of a web-style query."""
     phrases = [p.lower() for p in re.findall(r'"([^"]+)"', query)]
     rest = re.sub(r'"[^"]+"', " ", query).lower()
     out = [w for w in re.findall(r"(?:^|\s)-([a-z0-9]+)", rest)]
     rest = re.sub(r"(?:^|\s)-[a-z0-9]+", " ", rest)
-    return [w for w in re.findall(r"[a-z0-9]+", rest)], phrases, out
-
-
-def keyword(chunks: DataFrame, query: str, top_k: int = 10, where: Column | None = None) -> DataFrame:
+    need: list[list[str]] = []
+    words = re.findall(r"[a-z0-9]+", rest)
+    i = 0
+    while i < len(words):
+        if words[i] == "or" and need and i + 1 < len(words):
+            need[-1].append(words[i + 1])
+            i += 2
+        else:
+            need.append([words[i]])
+            i += 1
+    return need, phrases, out
+
+
+def word_stem(word: str) -> str:
+    """A word without the common endings of its forms."""
+    for ending in ("ing", "ies", "ied", "es", "ed", "s"):
+        if word.endswith(ending) and len(word) - len(ending) >= 3:
+            return word[: -len(ending)]
+    return word
+
+
+def keyword(chunks: DataFrame, query: str, top_k: int = 10, where: Column | None = None, forms: bool = False) -> DataFrame:
     """(chunk_id, keyword_score): chunks with all words and phrases and none of the excluded words.
 
-    The rank is the sum over the words of tf / (tf + 1), over 1 + ln(words of
-    the chunk); words are runs of letters and digits in lower case.
+    The rank is the sum over words, alternatives and phrases of tf / (tf + 1),
+    over 1 + ln(words of the chunk); words are runs of letters and digits in
+    lower case.  With ``forms`` a word stands for its common forms as well.  A
+    query without words and phrases finds nothing.
     """
     need, phrases, out = query_terms(query)
     kept = chunks if where is None else chunks.where(where)
     low = F.lower("content")
-    for part in [*phrases, *need]:
-        kept = kept.where(low.contains(part))  # cheap, so texts without the words are never counted
-    times = lambda w: F.regexp_count(low, F.lit(rf"(?<![a-z0-9]){w}(?![a-z0-9])")).cast("double")
+    part = (lambda w: word_stem(w)) if forms else (lambda w: w)
+    shape = (lambda w: rf"{word_stem(w)}(?:ing|ies|ied|y|es|ed|e|s)?") if forms else (lambda w: w)
+    any_part = lambda ws: reduce(lambda a, b: a | b, [low.contains(part(w)) for w in ws])
+    # cheap, so texts without the words are never counted
+    for p in phrases:
+        kept = kept.where(low.contains(p))
+    for words in need:
+        kept = kept.where(any_part(words))
+    times = lambda w: F.regexp_count(low, F.lit(rf"(?<![a-z0-9]){shape(w)}(?![a-z0-9])")).cast("double")
+    said = lambda p: ((F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / F.lit(float(len(p)))).cast("double")
     for w in out:
-        kept = kept.where(~low.contains(w) | (times(w) == 0))
+        kept = kept.where(~low.contains(part(w)) | (times(w) == 0))
     n_words = F.regexp_count(low, F.lit("[a-z0-9]+")).cast("double")
-    counts = kept.select("chunk_id", F.array(*[times(w) for w in need]).cast("array<double>").alias("tf"), n_words.alias("n"))
-    total = F.aggregate("tf", F.lit(0.0), lambda acc, x: acc + x / (x + 1))
+    groups = [F.array(*[times(w) for w in words]) for words in need] + [F.array(said(p)) for p in phrases]
+    if not groups:
+        groups = [F.array(F.lit(0.0))]
+    counts = kept.select("chunk_id", F.array(*groups).alias("tf"), n_words.alias("n"))
+    total = F.aggregate(F.flatten("tf"), F.lit(0.0), lambda acc, x: acc + x / (x + 1))
     score = F.round(total / (1 + F.ln(F.greatest("n", F.lit(1.0)))), 6)
-    found = counts.where(~F.array_contains("tf", 0.0)).select("chunk_id", score.alias("keyword_score"))
+    # one of the alternatives of each word
+    full = F.forall("tf", lambda g: F.exists(g, lambda x: x > 0))
+    found = counts.where(full).select("chunk_id", score.alias("keyword_score"))
     return found.where("keyword_score > 0").orderBy(F.desc("keyword_score"), "chunk_id").limit(min(top_k, MOST))
 
 
@@ -100,6 +133,19 @@ def within_budget(evidence: DataFrame, items: int = 20, chars: int = 15000, each
     return running_budget(cut, F.length("content"), chars, [], F.desc("final_score"), F.desc("chunk_id"))
 
 
+def containing(texts: DataFrame, items: DataFrame, most: int = 5_000) -> DataFrame:
+    """Rows of ``texts`` (with ``text``) beside those of ``items`` (with ``part``) that they hold letter by letter.
+
+    The items are a stated query set.  They are counted; up to ``most`` are
+    broadcast, more go over the texts block by block, each block broadcast.
+    """
+    stated = items.where("part is not null").distinct()
+    blocks = -(-stated.count() // most) or 1
+    block = F.pmod(F.xxhash64("part"), F.lit(blocks))
+    found = [texts.join(F.broadcast(stated.where(block == i)), F.contains("text", "part")) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def retrieval_counts(results: DataFrame) -> DataFrame:
     return results.agg(
         F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("semantic_score") > 0).alias("semantic_candidates"), F.count_if(F.col("keyword_score") > 0).alias("keyword_candidates")

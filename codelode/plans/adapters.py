@@ -11,8 +11,17 @@ from pyspark.sql import functions as F
 
 from codelode.sources.tables import table
 
+#: Lines that import something, and what they import from where; and lines that define a name, in Python and scripts.
+IMPORT = r"""(?m)^(?:from [\w.]+ import [\w, ]+|import [^;'"\n]+ from ['"][^'"\n]+|import [\w.]+)"""
+FROM_TEXT, FROM_PYTHON, PLAIN = r"""from ['"]([^'"]+)""", r"^from ([\w.]+) import", r"^import ([\w.]+)"
+NAMES_PYTHON, NAMES_SCRIPT = r"^from [\w.]+ import ([\w, ]+)", r"\{([^}]*)\}"
+DEFINITION = r"(?m)^(?:export )?(?:default )?(?:async )?(?:def|class|function|const|interface) (\w+)"
+
+_PIECE = lambda p: f"nullif(regexp_extract(x, $${p}$$, 1), '')"
 #: SQL of each derived table, as a common table expression.
 CTE = {
+    "im": f"im AS (SELECT DISTINCT repository_id, path, coalesce({_PIECE(FROM_TEXT)}, {_PIECE(FROM_PYTHON)}, {_PIECE(PLAIN)}, '') AS source, coalesce({_PIECE(NAMES_PYTHON)}, {_PIECE(NAMES_SCRIPT)}, '') AS imported_names FROM (SELECT repository_id, path, unnest(regexp_extract_all(content, $${IMPORT}$$)) AS x FROM file_info))",
+    "df": f"df AS (SELECT DISTINCT repository_id, path, unnest(regexp_extract_all(content, $${DEFINITION}$$, 1)) AS name FROM file_info)",
     "co": "co AS (SELECT o_orderkey AS commit_id, o_orderpriority AS repository_id, left(sha256(CAST(o_orderkey AS VARCHAR)), 40) AS commit_hash, o_orderdate AS committed_at FROM orders)",
     "ch": "ch AS (SELECT l_orderkey AS commit_id, 'src/' || lower(p_brand) || '/' || lower(p_type) || '.py' AS path, CASE l_returnflag WHEN 'A' THEN 'added' WHEN 'N' THEN 'modified' ELSE 'deleted' END AS change_type, CAST(l_quantity AS INTEGER) AS additions, l_linenumber AS deletions FROM lineitem JOIN part ON p_partkey = l_partkey)",
     "e": "e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS dst, l_quantity AS q FROM lineitem) WHERE q >= 40 AND dst IS NOT NULL AND src <> dst)",
@@ -81,3 +90,19 @@ def located_symbols(spark: SparkSession, folder: str) -> DataFrame:
     files = table(spark, folder, "files").select(F.col("id").alias("file_id"), "path").distinct()
     s = table(spark, folder, "symbols").distinct()
     return s.join(files, "file_id").select("id", F.trim("name").alias("name"), "symbol_type", "analysis_run_id", "file_id", "path")
+
+
+def imports(spark: SparkSession, folder: str) -> DataFrame:
+    """(repository_id, path, source, imported_names) of the import lines of the stored texts."""
+    rows = table(spark, folder, "file_info").select("repository_id", "path", F.explode(F.regexp_extract_all("content", F.lit(IMPORT), F.lit(0))).alias("x"))
+    part = lambda p: F.nullif(F.regexp_extract("x", p, 1), F.lit(""))
+    return rows.select(
+        "repository_id", "path", F.coalesce(part(FROM_TEXT), part(FROM_PYTHON), part(PLAIN), F.lit("")).alias("source"),
+        F.coalesce(part(NAMES_PYTHON), part(NAMES_SCRIPT), F.lit("")).alias("imported_names"),
+    ).distinct()
+
+
+def definitions(spark: SparkSession, folder: str) -> DataFrame:
+    """(repository_id, path, name) of the lines of the stored texts that define a name."""
+    rows = table(spark, folder, "file_info").select("repository_id", "path", F.explode(F.regexp_extract_all("content", F.lit(DEFINITION), F.lit(1))).alias("name"))
+    return rows.distinct()

@@ -2,10 +2,6 @@
 
 Every query runs over all rows of its tables; a literal in a call is the
 parameter that the operator takes (a path, a commit, a search text, a date).
-Three make small inputs for their operators, as their SQL does: short questions
-out of the heads of documents, heads of items, and calls to one name.  Beside
-them ``intent_whole_texts``, ``substring_whole_items`` and, in
-``catalog_sources``, ``source_call_edges`` give the operators everything.
 """
 
 from __future__ import annotations
@@ -334,8 +330,10 @@ def workflow_tree(spark, folder):
 
 
 SQL["workflow_tree"] = _recursive(
-    f"t AS (SELECT {SEED}::BIGINT AS node, 0 AS depth, [{SEED}::BIGINT] AS p, false AS again UNION ALL SELECT e.dst, t.depth + 1, list_append(t.p, e.dst), list_contains(t.p, e.dst) FROM t JOIN e ON e.src = t.node WHERE t.depth < 3 AND NOT t.again)",
-    f"SELECT {SEED}::BIGINT AS seed, node, depth::INTEGER AS depth, array_to_string(p, ',') AS path, again FROM t",
+    f"{_DOWN}, n AS (SELECT node, min(depth) AS depth FROM r GROUP BY 1), x AS (SELECT e.src, e.dst, s.depth + 1 AS depth, d.depth AS least FROM n s JOIN e ON e.src = s.node JOIN n d ON d.node = e.dst WHERE s.depth < 3), "
+    "o AS (SELECT dst, min(src) AS src FROM x WHERE depth = least GROUP BY 1), "
+    f"p AS (SELECT {SEED}::BIGINT AS node, '{SEED}' AS path UNION ALL SELECT o.dst, p.path || ',' || o.dst FROM p JOIN o ON o.src = p.node)",
+    f"SELECT {SEED}::BIGINT AS seed, {SEED}::BIGINT AS node, 0::INTEGER AS depth, '{SEED}' AS path, false AS again UNION ALL SELECT {SEED}, x.dst, x.depth::INTEGER, p.path || ',' || x.dst, NOT (x.depth = x.least AND x.src = o.src) FROM x JOIN p ON p.node = x.src LEFT JOIN o ON o.dst = x.dst",
 )
 
 
@@ -349,12 +347,14 @@ def parent_self_join(spark, folder):
     return graph.qualified_names(table(spark, folder, "symbols")).select("id", "qualified_name").distinct()
 
 
-@query("SELECT DISTINCT c.id AS src, d.id AS dst, c.line FROM (SELECT id, analysis_run_id, min(start_line) AS line, 'run' AS callee FROM symbols WHERE symbol_type = 'class' GROUP BY 1, 2) c JOIN (SELECT DISTINCT id, analysis_run_id FROM symbols WHERE name = 'run' AND symbol_type = 'function') d USING (analysis_run_id)")
+@query("WITH s AS (SELECT DISTINCT * FROM symbols), c AS (SELECT s.name AS caller_name, s.file_id, s.analysis_run_id, p.name AS callee_name, s.start_line AS line FROM s JOIN (SELECT DISTINCT id, name FROM symbols) p ON p.id = s.parent_symbol_id) "
+       "SELECT DISTINCT a.id AS src, b.id AS dst, c.line FROM c JOIN s a ON a.name = c.caller_name AND a.file_id = c.file_id AND a.analysis_run_id = c.analysis_run_id JOIN s b ON b.name = c.callee_name AND b.analysis_run_id = c.analysis_run_id")
 def call_edges_resolved(spark, folder):
+    """Every symbol calls what has the name of its parent, as constructors and recursive methods do."""
     s = table(spark, folder, "symbols").distinct()
-    # every class calls ``run``: a name that many symbols of a run have, so calls fan out
-    calls = s.where("symbol_type = 'class'").select(F.col("name").alias("caller_name"), "file_id", "analysis_run_id", F.lit("run").alias("callee_name"), F.col("start_line").alias("line_number"))
-    return graph.resolve_calls(calls, s.where("symbol_type = 'class' or (symbol_type = 'function' and name = 'run')"))
+    parents = s.select(F.col("id").alias("parent_symbol_id"), F.col("name").alias("callee_name")).distinct()
+    calls = s.join(parents, "parent_symbol_id").select(F.col("name").alias("caller_name"), "callee_name", "file_id", "analysis_run_id", F.col("start_line").alias("line_number"))
+    return graph.resolve_calls(calls, s)
 
 
 _IMPORTS = (
@@ -438,6 +438,23 @@ def keyword_topk(spark, folder):
     return search.keyword(A.chunks(spark, folder), WORDS, 20)
 
 
+@query("SELECT * FROM (SELECT chunk_id, round((n / (n + 1)) / (1 + ln(greatest(w, 1)::DOUBLE)), 6) AS keyword_score FROM (SELECT chunk_id, ((length(l) - length(replace(l, 'the parser', ''))) / 10.0)::DOUBLE AS n, "
+       "len(list_filter(regexp_split_to_array(l, '[^a-z0-9]+'), lambda t: t <> '')) AS w FROM (SELECT chunk_id, lower(content) AS l FROM cu WHERE content IS NOT NULL)) WHERE n > 0) ORDER BY 2 DESC, 1 LIMIT 20", "cu")
+def keyword_phrase_topk(spark, folder):
+    return search.keyword(A.chunks(spark, folder), '"the parser"', 20)
+
+
+@query("SELECT chunk_id, round((a / (a + 1) + b / (b + 1) + c / (c + 1)) / (1 + ln(greatest(w, 1)::DOUBLE)), 6) AS keyword_score FROM (SELECT chunk_id, len(list_filter(t, lambda x: x = 'cache'))::DOUBLE AS a, len(list_filter(t, lambda x: x = 'parser'))::DOUBLE AS b, "
+       "len(list_filter(t, lambda x: x = 'layer'))::DOUBLE AS c, len(list_filter(t, lambda x: x = 'error')) AS d, len(t) AS w FROM (SELECT chunk_id, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM cu WHERE content IS NOT NULL)) WHERE (a > 0 OR b > 0) AND c > 0 AND d = 0 ORDER BY 2 DESC, 1 LIMIT 20", "cu")
+def keyword_alternatives_topk(spark, folder):
+    return search.keyword(A.chunks(spark, folder), "cache or parser layer -error", 20)
+
+
+@query("SELECT chunk_id, round((a / (a + 1)) / (1 + ln(greatest(w, 1)::DOUBLE)), 6) AS keyword_score FROM (SELECT chunk_id, len(list_filter(t, lambda x: x IN ('pars', 'parsing', 'parsies', 'parsied', 'parsy', 'parses', 'parsed', 'parse', 'parss')))::DOUBLE AS a, len(t) AS w FROM (SELECT chunk_id, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM cu WHERE content IS NOT NULL)) WHERE a > 0 ORDER BY 2 DESC, 1 LIMIT 20", "cu")
+def keyword_forms_topk(spark, folder):
+    return search.keyword(A.chunks(spark, folder), "parsing", 20, forms=True)
+
+
 @query(_kw_sql("cu", 20, "AND chunk_type = 'docs'"), "cu")
 def keyword_topk_by_type(spark, folder):
     return search.keyword(A.chunks(spark, folder), WORDS, 20, F.col("chunk_type") == "docs")
@@ -531,17 +548,9 @@ def _intent_sql(question: str) -> str:
 
 
 @query(_intent_sql("text"))
-def intent_whole_texts(spark, folder):
-    d = table(spark, folder, "documents").where("text is not null")
-    return d.select("doc_id", P.intent(F.col("text"), F.col("doc_id") % 2 == 0).alias("i")).select("doc_id", "i.intent", "i.confidence")
-
-
-@query(f"SELECT doc_id, CASE WHEN short AND regexp_matches(q, $${'|'.join(K.CONTEXT_DEPENDENCY)}$$, 'i') THEN 'dependency_question' WHEN short AND regexp_matches(q, $${'|'.join(K.CONTEXT_DETAIL)}$$, 'i') THEN 'symbol_explanation' WHEN m > 0 THEN {_BEST} ELSE 'unknown' END AS intent, "
-       f"CASE WHEN short AND regexp_matches(q, $${'|'.join(K.CONTEXT_DEPENDENCY + K.CONTEXT_DETAIL)}$$, 'i') THEN 0.7 WHEN m > 0 THEN least(m / 2.0, 1.0) ELSE 0.5 END::DOUBLE AS confidence "
-       f"FROM (SELECT *, greatest({', '.join(f's{i}' for i in range(len(K.INTENT_PATTERNS)))}) AS m, (len(list_filter(regexp_split_to_array(trim(q), '\\s+'), lambda w: w <> '')) <= 4 AND doc_id % 2 = 0) AS short FROM (SELECT doc_id, q, {_INTENT} FROM (SELECT doc_id, left(text, 20 + (doc_id % 60)) AS q FROM documents WHERE text IS NOT NULL)))")
 def intent_classification(spark, folder):
-    d = table(spark, folder, "documents").where("text is not null").select("doc_id", F.expr("left(text, 20 + cast(doc_id % 60 as int))").alias("q"))
-    return d.select("doc_id", P.intent(F.col("q"), F.col("doc_id") % 2 == 0).alias("i")).select("doc_id", "i.intent", "i.confidence")
+    d = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
+    return P.intents(d, "text", F.col("doc_id") % 2 == 0).select("doc_id", "intent", "confidence")
 
 
 @query()
@@ -558,17 +567,10 @@ def global_search(spark, folder):
     return targets.global_search("token", table(spark, folder, "files").select("id", "path").distinct(), table(spark, folder, "symbols").select("id", "name").distinct(), e)
 
 
-@query("SELECT DISTINCT i.item_id, d.doc_id FROM benchmark i JOIN documents d ON contains(d.text, left(i.text, 60))")
-def substring_theta_join(spark, folder):
-    # the held-out items do not grow; the bound is checked before they are broadcast
-    items = coverage.small(table(spark, folder, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("part")))
-    return table(spark, folder, "documents").select("doc_id", "text").join(items, F.contains("text", "part")).select("item_id", "doc_id").distinct()
-
-
 @query("SELECT DISTINCT i.item_id, d.doc_id FROM benchmark i JOIN documents d ON contains(d.text, i.text)")
-def substring_whole_items(spark, folder):
-    items = coverage.small(table(spark, folder, "benchmark").select("item_id", F.col("text").alias("part")).distinct())
-    return table(spark, folder, "documents").select("doc_id", "text").join(items, F.contains("text", "part")).select("item_id", "doc_id").distinct()
+def substring_theta_join(spark, folder):
+    found = search.containing(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("item_id", F.col("text").alias("part")))
+    return found.select("item_id", "doc_id").distinct()
 
 
 _CLEAN = "text"
@@ -740,19 +742,11 @@ def affected_endpoints(spark, folder):
 
 
 _SIG = {
-    "public_api": "n_endpoints > 0", "high_fanout": "n_public >= 5", "workflows": "n_workflows > 0", "security": "security", "database": "database", "payment": "payment",
-    "many_files": "n_files > 10", "large_change": "n_lines > 500", "missing_tests": "source AND NOT tests",
+    "public_api_change": "n_endpoints > 0", "high_fanout_symbol": "n_public >= 5", "workflow_entry_affected": "n_workflows > 0", "security_code_change": "security", "database_code_change": "database", "payment_code_change": "payment",
+    "many_files_changed": "n_files > 10", "large_change_size": "n_lines > 500", "missing_test_changes": "source AND NOT tests",
 }
 
 
-@query("WITH " + CTE["ch"] + f", g AS (SELECT commit_id, (commit_id % 3)::BIGINT AS n_endpoints, (commit_id % 9)::BIGINT AS n_public, 0::BIGINT AS n_workflows, bool_or({_any('lower(path)', K.SECURITY_PATHS)}) AS security, bool_or({_any('lower(path)', K.DATABASE_PATHS)}) AS database, bool_or({_any('lower(path)', K.PAYMENT_PATHS)}) AS payment, count(DISTINCT path) AS n_files, sum(additions + deletions) AS n_lines, bool_or(NOT {_any('lower(path)', K.NON_SOURCE_PATHS)}) AS source, bool_or({_test_sql('path', K.CHANGE_TEST_DIRS, K.CHANGE_TEST_NAMES)}) AS tests FROM ch GROUP BY 1), "
-       "s AS (SELECT commit_id, least(" + " + ".join(f"CASE WHEN {c} THEN {K.RISK_WEIGHTS[k]} ELSE 0 END" for k, c in _SIG.items()) + ", 100)::INTEGER AS score, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in _SIG.items()) + "], lambda x: x IS NOT NULL), ',') AS signals FROM g) "
-       "SELECT commit_id, score, CASE WHEN score >= 86 THEN 'critical' WHEN score >= 61 THEN 'high' WHEN score >= 31 THEN 'medium' ELSE 'low' END AS level, signals FROM s")
-def risk_score(spark, folder):
-    c = A.changes(spark, folder).withColumn("language", F.lit("Python"))
-    return change.risk(c, F.col("commit_id") % 3, F.col("commit_id") % 9, F.lit(0).cast("long"), "commit_id")
-
-
 @query("WITH " + CTE["ch"] + " SELECT commit_id, upper(left(change_type, 1)) || substr(change_type, 2) || ' ' || path || ' (+' || additions || ', -' || deletions || ')' AS line FROM (SELECT *, row_number() OVER (PARTITION BY commit_id ORDER BY path, change_type, additions, deletions) AS n FROM (SELECT DISTINCT * FROM ch)) WHERE n <= 20")
 def change_evidence(spark, folder):
     return change.evidence(A.changes(spark, folder), "commit_id")

@@ -39,6 +39,28 @@ def append_new(incoming: DataFrame, path: str, keys: list[str]) -> int:
     return n
 
 
+def append_new_groups(incoming: DataFrame, path: str, key: str, buckets: int = 256) -> int:
+    """Append all rows of the keys that are not in the Parquet table yet; returns how many rows.
+
+    The table is partitioned by a hash of the key, and the look-up reads the
+    partitions of the incoming keys only, not the whole history.
+    """
+    spark = incoming.sparkSession
+    rows = incoming.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        # at most as many values as there are buckets
+        wanted = [r[0] for r in rows.select("bucket").distinct().collect()]
+        there = spark.read.parquet(path).where(F.col("bucket").isin(wanted)).select("bucket", key).distinct()
+        rows = rows.join(there, ["bucket", key], "left_anti")
+    new = stage(rows, n=F.count(F.lit(1)))
+    n = new.seen["n"]
+    if n:
+        new.df.write.mode("append").partitionBy("bucket").parquet(path)
+    new.drop()
+    return n
+
+
 def with_file_ids(rows: DataFrame, files: DataFrame, how: str = "inner") -> DataFrame:
     """Rows with the id of the file of their run and path: inner drops unknown paths, left keeps them."""
     ids = files.groupBy("analysis_run_id", "path").agg(F.min("id").alias("file_id"))

@@ -170,13 +170,17 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows = python_rows(text) if path.lower().endswith(".py") else script_rows(text)
             except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
                 rows = [("error", None, f"{type(e).__name__}: {e}"[:200], None, None, None)]
-            found += [(rid, path, *r) for r in rows]
-        cols = list(zip(*found)) or [()] * 8
-        types = [pa.string()] * 6 + [pa.int32()] * 2
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=[p.split()[0] for p in SCHEMA.split(", ")])
+            found += [(rid, path, *r, i) for i, r in enumerate(rows)]
+        cols = list(zip(*found)) or [()] * 9
+        types = [pa.string()] * 6 + [pa.int32()] * 3
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=[p.split()[0] for p in (SCHEMA + ", seq int").split(", ")])
 
 
 def analyse(files: DataFrame) -> DataFrame:
-    """Rows of the supported files in (repository_id, path, content)."""
-    kept = files.select("repository_id", "path", "content").where(F.lower("path").rlike(r"\.(py|js|jsx|ts|tsx)$") & F.col("content").isNotNull()).distinct()
-    return kept.mapInArrow(_batches, SCHEMA)
+    """Rows of the supported files in (repository_id, path, content); a text stored twice for a file counts once.
+
+    No text is shuffled: every copy is parsed where it lies, and of the rows,
+    numbered within their text, those of one copy are kept.
+    """
+    kept = files.select("repository_id", "path", "content").where(F.lower("path").rlike(r"\.(py|js|jsx|ts|tsx)$") & F.col("content").isNotNull())
+    return kept.mapInArrow(_batches, SCHEMA + ", seq int").distinct().drop("seq")

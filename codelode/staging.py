@@ -9,12 +9,26 @@ local one (tests) a temporary folder is taken.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local_dir: str | None = None
+_scopes: list[list["Staged"]] = []
+
+
+@contextlib.contextmanager
+def cleared() -> Iterator[None]:
+    """Remove, at its end, the tables staged within; what reads them has to be consumed or written before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for table in _scopes.pop():
+            table.drop()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +61,8 @@ class Staged:
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
         self.seen = noted.get if aggregates else {}
+        if _scopes:
+            _scopes[-1].append(self)
 
     @staticmethod
     def of(table: "Staged", *columns: str) -> "Staged":
