@@ -643,17 +643,16 @@ def trend_counts(spark, folder):
 
 
 def _tests(spark, folder):
-    """One row for each test symbol and import of its file: test files of the listing, what they import by name."""
-    f = table(spark, folder, "file_info").where(P.is_test_file(F.col("path"))).select("path", F.col("content"))
-    found = F.regexp_extract_all("content", F.lit(r"import \{ ([^}]*) \} from '([^']+)'"), F.lit(0))
-    rows = f.select("path", F.explode_outer(found).alias("i")).select(
-        "path", X.filename(F.col("path")).alias("name"), F.coalesce(F.regexp_extract("i", r"from '([^']+)'", 1), F.lit("")).alias("source"), F.coalesce(F.regexp_extract("i", r"\{ ([^}]*) \}", 1), F.lit("")).alias("imported_names")
-    )
-    return rows.distinct()
+    """One row for each test file and import of it; a file without imports has one row."""
+    f = table(spark, folder, "file_info").where(P.is_test_file(F.col("path"))).select("path").distinct()
+    none = F.lit("")
+    i = A.imports(spark, folder).select("path", "source", "imported_names").distinct()
+    return f.join(i, "path", "left").select("path", X.filename(F.col("path")).alias("name"), F.coalesce("source", none).alias("source"), F.coalesce("imported_names", none).alias("imported_names"))
 
 
 _TESTS = (
-    f"ti AS (SELECT DISTINCT path, list_last(string_split(path, '/')) AS name, coalesce(regexp_extract(i, 'from ''([^'']+)''', 1), '') AS source, coalesce(regexp_extract(i, '\\{{ ([^}}]*) \\}}', 1), '') AS imported_names FROM (SELECT path, unnest(CASE WHEN len(l) > 0 THEN l ELSE [NULL] END) AS i FROM (SELECT path, coalesce(regexp_extract_all(content, 'import \\{{ ([^}}]*) \\}} from ''([^'']+)'''), []) AS l FROM file_info WHERE {_test_sql('path', K.TEST_DIRS, K.TEST_NAMES)})))"
+    f"{CTE['im']}, ti AS (SELECT DISTINCT f.path, list_last(string_split(f.path, '/')) AS name, coalesce(source, '') AS source, coalesce(imported_names, '') AS imported_names "
+    f"FROM (SELECT DISTINCT path FROM file_info WHERE {_test_sql('path', K.TEST_DIRS, K.TEST_NAMES)}) f LEFT JOIN (SELECT DISTINCT path, source, imported_names FROM im) i ON i.path = f.path)"
 )
 
 
@@ -680,22 +679,55 @@ def test_siblings(spark, folder):
     return coverage.by_sibling(f.where(P.is_test_file(F.col("path"))), f.where(~P.is_test_file(F.col("path"))))
 
 
-@query()
+_MODULE = "regexp_replace(replace(regexp_replace({0}, '\\.[^./]*$', ''), '/', '.'), '^\\.+', '')"
+_PARTS = "array_to_string(list_filter(regexp_split_to_array(regexp_replace({0}, '\\.(py|js|jsx|ts|tsx)$', ''), '[./\\\\]+'), lambda x: x <> ''), '.')"
+_BARE_DIR = "array_to_string(list_filter(string_split(regexp_replace({0}, '/?[^/]*$', ''), '/'), lambda d: d NOT IN ('tests', 'test', '__tests__')), '/')"
+_USED = "list_filter(list_transform(string_split(imported_names, ','), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(
+    f"WITH {_TESTS}, {CTE['df']}, so AS (SELECT DISTINCT path AS target FROM file_info WHERE NOT {_test_sql('path', K.TEST_DIRS, K.TEST_NAMES)}), u AS (SELECT path, unnest({_USED}) AS n FROM ti), "
+    f"mo AS (SELECT target, {_PARTS.format(_MODULE.format('target'))} AS m FROM so), us AS (SELECT DISTINCT path, {_PARTS.format('source')} AS s FROM ti), tp AS (SELECT DISTINCT path FROM ti), "
+    "r AS (SELECT DISTINCT u.path, df.path AS target, 0 AS rank FROM u JOIN df ON df.name = u.n JOIN so ON so.target = df.path "
+    "UNION SELECT us.path, target, 1 FROM us JOIN mo ON us.s <> '' AND mo.m <> '' AND (contains('.' || us.s || '.', '.' || mo.m || '.') OR contains('.' || mo.m || '.', '.' || us.s || '.')) "
+    f"UNION SELECT tp.path, target, 2 FROM tp JOIN so ON {_stem('tp.path')} = {_stem('so.target')} AND tp.path <> target "
+    f"UNION SELECT tp.path, target, 3 FROM tp JOIN so ON {_BARE_DIR.format('tp.path')} = {_BARE_DIR.format('so.target')} AND tp.path <> target AND contains(lower(tp.path), lower({_stem('so.target')}))) "
+    "SELECT path, target, ['direct_import', 'indirect_import', 'sibling_module', 'path_pattern'][min(rank) + 1] AS relationship, ['high', 'medium', 'medium', 'low'][min(rank) + 1] AS confidence FROM r GROUP BY 1, 2"
+)
 def source_to_tests(spark, folder):
     f = table(spark, folder, "file_info").select("path").distinct()
-    return coverage.tests_of_sources(_tests(spark, folder), A.located_symbols(spark, folder), f.where(~P.is_test_file(F.col("path"))))
+    return coverage.tests_of_sources(_tests(spark, folder), A.definitions(spark, folder).select("path", "name"), f.where(~P.is_test_file(F.col("path"))))
 
 
-@query()
+_NAME_WORDS = "array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g')), '[^a-z0-9]+'), lambda x: x <> ''), '_')"
+
+
+@query(
+    f"WITH {_TESTS}, sn AS (SELECT DISTINCT trim(name) AS target FROM symbols), w AS (SELECT target, {_NAME_WORDS.format('target')} AS k FROM sn WHERE length(target) > 2), tn AS (SELECT DISTINCT path, name, {_NAME_WORDS.format('name')} AS k FROM ti), "
+    f"r AS (SELECT path, name, target, 0 AS rank FROM (SELECT DISTINCT path, name, unnest({_USED}) AS target FROM ti) WHERE target IN (SELECT target FROM sn) UNION SELECT path, name, target, 1 FROM tn JOIN w ON w.k <> '' AND contains('_' || tn.k || '_', '_' || w.k || '_')) "
+    "SELECT path, name, target, CASE min(rank) WHEN 0 THEN 'high' ELSE 'low' END AS confidence FROM r GROUP BY 1, 2, 3"
+)
 def symbol_to_tests(spark, folder):
     return coverage.tests_of_symbols(_tests(spark, folder), table(spark, folder, "symbols").select(F.trim("name").alias("name")).distinct())
 
 
-@query()
+_FRAMEWORK = (
+    "CASE " + " ".join(f"WHEN list_has_any(coalesce(roots, []), [{_in(m)}]) THEN '{n}'" for n, m in K.FRAMEWORKS.items())
+    + " ELSE coalesce(CASE language " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.DEFAULT_FRAMEWORKS.items()) + " END, 'unknown') END"
+)
+
+
+@query(
+    f"WITH {CTE['im']}, {CTE['df']}, f AS (SELECT DISTINCT repository_id || '/' || path AS file_id, path, language FROM file_info WHERE {_test_sql('path', K.TEST_DIRS, K.TEST_NAMES)}), "
+    f"c AS (SELECT repository_id || '/' || path AS file_id, count(*) AS n FROM df WHERE regexp_matches(lower(name), '^({'|'.join(K.TEST_FUNCTIONS)})') GROUP BY 1), "
+    "r AS (SELECT repository_id || '/' || path AS file_id, list(DISTINCT string_split(source, '.')[1]) AS roots, count(*) AS n FROM im GROUP BY 1) "
+    f"SELECT f.file_id, path, {_FRAMEWORK} AS framework, coalesce(c.n, 0)::BIGINT AS n_tests, coalesce(r.n, 0)::BIGINT AS n_imports FROM f LEFT JOIN c USING (file_id) LEFT JOIN r USING (file_id)"
+)
 def test_inventory(spark, folder):
-    files = table(spark, folder, "files").select(F.col("id").alias("file_id"), "path", "language").distinct()
-    imports = A.located_symbols(spark, folder).where("symbol_type = 'class'").select("file_id", F.lit("pytest.fixtures").alias("source"))
-    return coverage.test_inventory(files, table(spark, folder, "symbols").distinct(), imports)
+    key = F.concat_ws("/", "repository_id", "path").alias("file_id")
+    files = table(spark, folder, "file_info").select(key, "path", "language").distinct()
+    defined = A.definitions(spark, folder).select(key, "name", F.lit("function").alias("symbol_type"))
+    return coverage.test_inventory(files, defined, A.imports(spark, folder).select(key, "source"))
 
 
 @query(f"SELECT DISTINCT path, CASE WHEN {_any('both_', ['e2e', 'end_to_end'])} THEN 'e2e' WHEN contains(lower(path), 'integration') OR contains(n, 'integr') THEN 'integration' WHEN {_any('both_', ['functional', 'feature'])} THEN 'functional' WHEN contains(both_, 'unit') THEN 'unit' WHEN list_has_any(string_split(lower(path), '/'), ['test', 'tests']) THEN 'unit' ELSE 'unknown' END AS test_type FROM (SELECT path, lower(list_last(string_split(path, '/'))) AS n, lower(path) || ' ' || lower(list_last(string_split(path, '/'))) AS both_ FROM file_info)")
@@ -709,7 +741,15 @@ def test_commands(spark, folder):
     return table(spark, folder, "documents").where("path is not null").select("doc_id", P.test_command(F.col("path")).alias("command"))
 
 
-@query()
+_COMMAND = "CASE lower(list_last(string_split(p, '.'))) WHEN 'py' THEN 'pytest ' || p || ' -v' WHEN 'js' THEN 'npm test ' || p WHEN 'ts' THEN 'npm test ' || p WHEN 'jsx' THEN 'npm test ' || p WHEN 'tsx' THEN 'npm test ' || p WHEN 'go' THEN 'go test ' || p WHEN 'rs' THEN 'cargo test --test ' || p WHEN 'java' THEN 'mvn test -Dtest=' || p ELSE '# Run tests in ' || p END"
+
+
+@query(
+    f"WITH k AS (SELECT {_EXT} AS kind, path, string_split(regexp_replace(path, '/?[^/]*$', ''), '/') AS parts FROM file_info WHERE {_test_sql('path', K.TEST_DIRS, K.TEST_NAMES)}), "
+    "g AS (SELECT kind, count(DISTINCT path) AS n, min(parts) AS a, max(parts) AS b, min(path) AS p FROM k GROUP BY 1), "
+    "x AS (SELECT *, array_to_string(a[1:len(list_filter(generate_series(1, least(len(a), len(b))), lambda i: a[1:i] = b[1:i]))], '/') AS prefix FROM g) "
+    f"SELECT kind, n::BIGINT AS n_files, CASE WHEN prefix = '' THEN 'tests/' ELSE prefix || '/' END AS directory, {_COMMAND} AS command FROM x"
+)
 def local_recommendations(spark, folder):
     return coverage.recommendations(table(spark, folder, "file_info").where(P.is_test_file(F.col("path"))).select("path"))
 
