@@ -43,7 +43,7 @@ def query_terms(query: str) -> tuple[list[list[str]], list[str], list[str]]:
 
 def word_stem(word: str) -> str:
     """A word without the common endings of its forms."""
-    for ending in ("ing", "ies", "ied", "es", "ed", "s"):
+    for ending in ("ing", "ies", "ied", "es", "ed", "e", "y", "s"):
         if word.endswith(ending) and len(word) - len(ending) >= 3:
             return word[: -len(ending)]
     return word

@@ -112,7 +112,7 @@ def test_changes(spark, rows):
     assert rows(change.changed_symbols(c, s)) == [("src/old.py", "_g", "function", "deleted", False), ("src/user.py", "f", "function", "added", True)]
     zero = F.lit(0).cast("long")
     risk = change.risk(c.withColumn("k", F.lit(1)), zero, zero, zero, "k").first()
-    assert risk.signals == "security,large_change,missing_tests" and risk.score == 45 and risk.level == "medium"
+    assert risk.signals == "security_code_change,large_change_size,missing_test_changes" and risk.score == 45 and risk.level == "medium"
 
 
 def test_siblings(spark, rows):
