@@ -1,13 +1,16 @@
 """Files that nobody wrote by hand: generated, minified, vendored, data saved as code.
 
 Layout statistics of each whole file are computed with built-in expressions
-and held against thresholds for its language; marks that tools leave in the
-first or last comment, and the places where tools and package managers put
-files, complete them.  No shuffle but the removal of repeated rows.
+and held against thresholds for its language.  They find what is minified and
+what is data; texts of tools and libraries are laid out like written ones, so
+these are found by the marks that tools leave in the first or last comment, by
+the places where tools and package managers put files, and, for libraries, by
+equal texts in several repositories.  Texts are not shuffled, only the hashes
+of texts and the statistics.
 
 Defined results
 * Where several rules hold the kind is the first of generated, vendored,
-  minified, data.
+  minified, data; that a text is found elsewhere counts last.
 * A null text has null statistics; only its path can make it a case.  Empty
   texts are cases only by path too.
 * A null path is no case.  A null extension or language changes nothing: the
@@ -23,6 +26,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelode.staging import stage
+
 #: Openings of the comments that code generators leave.
 GENERATED_MARKS = (
     r"@generated\b",
@@ -48,20 +53,22 @@ LIBRARY_PLACES = r"(?i)(^|/)(node_modules|bower_components|third_party|vendor|_v
 MINIFIED_PLACES = r"(?i)(^|/)(static|dist|_site)/([^/]+/)*[^/]+\.(js|css)$|[.-](min|bundle)\.(js|css)$|\.[0-9a-f]{8,}\.(js|css)$"
 GENERATED_PLACES_UNSEEN = r"(?i)(^|/)(gen|proto)/"
 
-#: Thresholds by language: longest line, white space share, for minified; numeric share, encoded share, for data.
+#: Thresholds by language: longest and mean line and white space share, for minified; numeric, encoded and alphanumeric share, for data.
 LIMITS = {
-    "script": {"longest": 250, "space": 0.09, "numeric": 0.22, "encoded": 0.30},
-    "python": {"longest": 400, "space": 0.07, "numeric": 0.25, "encoded": 0.30},
-    "style": {"longest": 250, "space": 0.09, "numeric": 2.0, "encoded": 0.50},
-    "other": {"longest": 400, "space": 0.07, "numeric": 0.25, "encoded": 0.30},
+    "script": {"longest": 250, "mean": 60, "space": 0.09, "numeric": 0.22, "encoded": 0.30, "alnum": 0.85},
+    "python": {"longest": 400, "mean": 80, "space": 0.07, "numeric": 0.25, "encoded": 0.30, "alnum": 0.85},
+    "style": {"longest": 250, "mean": 60, "space": 0.09, "numeric": 2.0, "encoded": 0.50, "alnum": 0.90},
+    "other": {"longest": 400, "mean": 80, "space": 0.07, "numeric": 0.25, "encoded": 0.30, "alnum": 0.85},
 }
 #: Endings of code in languages without thresholds of their own.
 OTHER_CODE = (
     "c h cc cpp cxx hh hpp hxx m mm cs java kt kts scala groovy go rs swift dart php phtml rb pl pm lua r jl hs ml ex exs erl clj "
     "html htm xhtml vue svelte scss sass less sh bash ps1 sql pyi pyx mts cts"
 ).split()
-#: Shortest text that layout alone can judge.
+#: Shortest text that layout, or its being found elsewhere, can judge.
 LEAST_CHARS = 300
+#: A text that so many repositories hold is a copy of a library.
+COPIES = 3
 
 _COMMENT = r"[ \t]*(?:#+|//+|/\*+!?|\*+)[ \t]*"
 
@@ -102,8 +109,12 @@ def layout(text: Column) -> dict[str, Column]:
     }
 
 
-def classify(files: DataFrame) -> DataFrame:
-    """Every (repository_id, path) row with its layout statistics and ``kind``, null for hand-written."""
+def classify(files: DataFrame, marks: bool = True) -> DataFrame:
+    """Every (repository_id, path) row with its layout statistics and ``kind``, null for hand-written.
+
+    Without ``marks`` the thresholds decide alone, as far as layout can: texts
+    that tools emit or libraries hold are laid out like written ones.
+    """
     text, path = F.col("text"), F.col("path")
     rows = files.select("repository_id", "path", F.col("content").alias("text")).where("path is not null")
     stats = rows.select("repository_id", "path", "text", *[c.alias(k) for k, c in layout(text).items()])
@@ -113,16 +124,37 @@ def classify(files: DataFrame) -> DataFrame:
     )
     limit = lambda k: F.coalesce(*[F.when(language == g, F.lit(v[k])) for g, v in LIMITS.items()])
     enough = F.col("n_chars") >= LEAST_CHARS
-    packed = enough & (F.col("longest_line") >= limit("longest")) & (F.col("space_share") < limit("space"))
-    data = enough & ((F.col("numeric_share") >= limit("numeric")) | (F.col("encoded_share") >= limit("encoded")))
+    packed = enough & (F.col("longest_line") >= limit("longest")) & (F.col("mean_line") >= limit("mean")) & (F.col("space_share") < limit("space"))
+    # long runs of an encoding, or short ones that leave hardly anything else
+    encoded = (F.col("encoded_share") >= limit("encoded")) | (F.col("alnum_share") >= limit("alnum"))
+    data = enough & ((F.col("numeric_share") >= limit("numeric")) | encoded)
     slashed = F.translate(path, "\\", "/")
+    is_data = data & ~((language == "script") & packed & ~encoded & (F.col("numeric_share") < 0.4))
+    # what cannot be a copy has a key of its own, so that nothing piles up
+    key = F.when(enough & language.isNotNull(), F.xxhash64("text")).otherwise(F.xxhash64("repository_id", "path", F.lit("alone")))
+    stats = stats.withColumn("text_id", key)
+    if not marks:
+        return _with_copies(stats.withColumn("kind", F.when(is_data, "data").when(packed, "minified")).drop("text"))
     kind = (
         F.when(language.isNotNull() & (slashed.rlike(GENERATED_PLACES) | (text.isNull() & slashed.rlike(GENERATED_PLACES_UNSEEN)) | _in_outer_comment(text, GENERATED_MARKS)), "generated")
         .when(slashed.rlike(LIBRARY_PLACES) | _in_outer_comment(text, LIBRARY_MARKS), "vendored")
-        .when(data & ~((language == "script") & packed & (F.col("encoded_share") < limit("encoded")) & (F.col("numeric_share") < 0.4)), "data")
+        .when(is_data, "data")
         .when(packed | (text.isNull() & slashed.rlike(MINIFIED_PLACES)), "minified")
     )
-    return stats.withColumn("kind", kind).drop("text")
+    return _with_copies(stats.withColumn("kind", kind).drop("text"))
+
+
+def _with_copies(rows: DataFrame) -> DataFrame:
+    """The rows, those without a kind ``vendored`` if enough repositories hold their text."""
+    rows = stage(rows).df
+    held = rows.select("text_id", "repository_id").distinct().groupBy("text_id").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= COPIES)
+    kind = F.coalesce("kind", F.when(F.col("held").isNotNull(), "vendored"))
+    return rows.join(held, "text_id", "left").withColumn("kind", kind).drop("text_id", "held")
+
+
+def by_layout(files: DataFrame) -> DataFrame:
+    """As ``classify``, but without marks and places: by layout, and by equal texts in several repositories."""
+    return classify(files, marks=False)
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:

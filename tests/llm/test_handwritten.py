@@ -54,3 +54,20 @@ def test_other_code_endings(spark, rows):
         ("a/api.pb.go", "package a\n"), ("a/Gen.java", "// Code generated by tool. DO NOT EDIT.\n" + java), ("a/Own.java", java), ("a/page.html", MIN), ("a/t.c", "int t[] = {\n" + "    12345, 67890, 13579, 24680,\n" * 40 + "};\n"), ("a/notes.txt", MIN),
     ]], SCHEMA)
     assert rows(H.classify(files).where("kind is not null"), "path", "kind") == [("a/Gen.java", "generated"), ("a/api.pb.go", "generated"), ("a/page.html", "minified"), ("a/t.c", "data")]
+
+
+def test_texts_of_several_repositories(spark, rows):
+    """A text that three repositories hold is a copy of a library; short texts, copies within one repository and documents are none."""
+    files = spark.createDataFrame(
+        [(r, f"src/{r}/lib.py", CODE, "", "", 0) for r in "abc"] + [("a", "src/again.py", CODE, "", "", 0)] + [("a", f"src/{i}.js", "const a = 1;\n" * 40, "", "", 0) for i in range(5)]
+        + [(r, "src/__init__.py", "", "", "", 0) for r in "abcd"] + [(r, "src/two.ts", "let x = 2;\n" * 50, "", "", 0) for r in "ab"] + [(r, "README.md", "Prose. " * 90, "", "", 0) for r in "abcd"]
+        + [(None, "src/null.py", CODE, "", "", 0)], SCHEMA,
+    )
+    assert [p for _, p in rows(H.not_handwritten(files), "repository_id", "path")] == ["src/again.py", "src/a/lib.py", "src/b/lib.py", "src/c/lib.py", "src/null.py"]
+
+
+def test_layout_alone(spark, rows):
+    df = spark.createDataFrame([("r", p, c, "", "", 1) for p, c, _ in CASES], SCHEMA)
+    assert rows(H.by_layout(df).where("kind is not null"), "path", "kind") == [("app/static/x.js", "minified"), ("src/data/h.ts", "data"), ("src/data/t.py", "data")]
+    wrapped = "K = '''\n" + "\n".join("Ab9x" * 9 for _ in range(30)) + "\n'''\n"
+    assert rows(H.by_layout(spark.createDataFrame([("r", "k.py", wrapped, "", "", 1)], SCHEMA)), "kind") == [("data",)]
