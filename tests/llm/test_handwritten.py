@@ -59,11 +59,11 @@ def test_other_code_endings(spark, rows):
 def test_texts_of_several_repositories(spark, rows):
     """A text that three repositories hold is a copy of a library; short texts, copies within one repository and documents are none."""
     files = spark.createDataFrame(
-        [(r, f"src/{r}/lib.py", CODE, "", "", 0) for r in "abc"] + [("a", "src/again.py", CODE, "", "", 0)] + [("a", f"src/{i}.js", "const a = 1;\n" * 40, "", "", 0) for i in range(5)]
-        + [(r, "src/__init__.py", "", "", "", 0) for r in "abcd"] + [(r, "src/two.ts", "let x = 2;\n" * 50, "", "", 0) for r in "ab"] + [(r, "README.md", "Prose. " * 90, "", "", 0) for r in "abcd"]
+        [(r, f"src/{r}/lib.py", CODE, "", "", 0) for r in "abc"] + [("a", "src/again.py", CODE, "", "", 0)] + [("a", f"src/{i}.js", "const a = b(c);\n" * 40, "", "", 0) for i in range(5)]
+        + [(r, "src/__init__.py", "", "", "", 0) for r in "abcd"] + [(r, "src/two.ts", "let x = y(z);\n" * 50, "", "", 0) for r in "ab"] + [(r, "README.md", "Prose. " * 90, "", "", 0) for r in "abcd"]
         + [(None, "src/null.py", CODE, "", "", 0)], SCHEMA,
     )
-    assert [p for _, p in rows(H.not_handwritten(files), "repository_id", "path")] == ["src/again.py", "src/a/lib.py", "src/b/lib.py", "src/c/lib.py", "src/null.py"]
+    assert sorted(p for _, p in rows(H.not_handwritten(files), "repository_id", "path")) == ["src/a/lib.py", "src/again.py", "src/b/lib.py", "src/c/lib.py", "src/null.py"]
 
 
 def test_layout_alone(spark, rows):
