@@ -12,20 +12,19 @@ name.
 from __future__ import annotations
 
 import ast
-import re
 import warnings
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.sources.script_reader import METHODS, Row, script_rows
+from codelode.staging import spread
+
 SCHEMA = "repository_id string, path string, kind string, name string, detail string, owner string, start_line int, end_line int"
-METHODS = frozenset("get post put delete patch options head".split())
-APPS = frozenset("app router api".split())
-BLUEPRINTS = frozenset("app blueprint bp api".split())
-Row = tuple[str, str | None, str | None, str | None, int | None, int | None]
+APPS = frozenset(["app", "router", "api"])
+BLUEPRINTS = frozenset(["app", "blueprint", "bp", "api"])
 
 
 def _routes(f: ast.FunctionDef | ast.AsyncFunctionDef) -> Iterator[Row]:
@@ -75,92 +74,6 @@ def python_rows(text: str) -> list[Row]:
     return out
 
 
-_BLANK = re.compile(r"//[^\n]*|/\*.*?\*/|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`", re.S)
-_NAME = r"[A-Za-z_$][\w$]*"
-_FUNCTION = re.compile(rf"\bfunction\s*\*?\s*({_NAME})\s*\(")
-_ARROW = re.compile(rf"\b(?:const|let|var)\s+({_NAME})\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^()]*\)|{_NAME})\s*(?::[^=\n]+)?=>")
-_CLASS = re.compile(rf"\bclass\s+({_NAME})")
-_INTERFACE = re.compile(rf"\binterface\s+({_NAME})")
-_METHOD = re.compile(rf"(?:(?<=[{{}};\n]))\s*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*\*?\s*(#?{_NAME})\s*\([^()]*\)\s*(?::[^{{;\n]+)?\{{")
-_NO_METHOD = frozenset("if for while switch catch function return".split())
-_CALL = re.compile(rf"\b({_NAME})\s*\(")
-_NO_CALL = _NO_METHOD | frozenset("constructor super typeof await async import".split())
-_IMPORT = re.compile(rf"""\bimport\s+(?:type\s+)?(?:({_NAME})\s*,?\s*)?(?:\*\s+as\s+{_NAME}\s*)?(?:\{{([^}}]*)\}}\s*)?from\s*['"]([^'"]+)['"]""")
-_REQUIRE = re.compile(rf"""\b(?:const|let|var)\s+(?:({_NAME})|\{{([^}}]*)\}})\s*=\s*require\(\s*['"]([^'"]+)['"]\s*\)""")
-_ROUTE = re.compile(rf"\b(?:app|router|api)\.(get|post|put|delete|patch|options|head)\(\s*(['\"`])([^'\"`]*)\2\s*,")
-
-
-def _close(text: str, at: int) -> int:
-    """Place of the brace that closes the first one opened from ``at`` on."""
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(text, at):
-        depth += 1 if m[0] == "{" else -1
-        if depth == 0:
-            return m.start()
-    return len(text) - 1
-
-
-def script_rows(text: str) -> list[Row]:
-    """Rows of one JavaScript or TypeScript text: declarations, arrow functions, classes and their methods."""
-    # literals and comments keep their length and line ends, so places stay true
-    code = _BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    ends = [m.start() for m in re.finditer("\n", text)]
-    line = lambda i: bisect_left(ends, i) + 1
-    out: list[Row] = []
-    spans: list[tuple[int, int, str]] = []
-
-    def add(m: re.Match, kind: str, owner: str | None = None, body: bool = True) -> int:
-        end = _close(code, m.end() - 1 if code[m.end() - 1] == "{" else m.end()) if body and "{" in code[m.end() - 1 :] else m.end()
-        out.append(("symbol", m[1], kind, owner, line(m.start(1)), line(end)))
-        return end
-
-    for m in _FUNCTION.finditer(code):
-        spans.append((m.start(), add(m, "function"), m[1]))
-    for m in _ARROW.finditer(code):
-        nxt = re.compile(r"\s*\{").match(code, m.end())
-        if nxt:
-            add(m, "arrow_function")
-        else:
-            out.append(("symbol", m[1], "arrow_function", None, line(m.start(1)), line(m.end())))
-    for m in _INTERFACE.finditer(code):
-        add(m, "interface")
-    for m in _CLASS.finditer(code):
-        start = code.find("{", m.end())
-        end = add(m, "class")
-        if start < 0:
-            continue
-        at = start + 1
-        while at < end:
-            k = _METHOD.search(code, at, end)
-            if not k:
-                break
-            if k[1] in _NO_METHOD:
-                at = k.end()
-                continue
-            at = add(k, "method", m[1]) + 1
-    for m in _IMPORT.finditer(text):
-        names = [x for x in [m[1], *((m[2] or "").split(","))] if x and x.strip()]
-        out.append(("import", m[3], ",".join(x.strip().split(" as ")[0] for x in names), None, line(m.start()), None))
-    for m in _REQUIRE.finditer(text):
-        names = [x for x in [m[1], *((m[2] or "").split(","))] if x and x.strip()]
-        out.append(("import", m[3], ",".join(x.strip() for x in names), None, line(m.start()), None))
-    declared = {m.start(1) for p in (_FUNCTION, _METHOD) for m in p.finditer(code)}
-    for m in _CALL.finditer(code):
-        if m[1] not in _NO_CALL and m.start(1) not in declared:
-            inside = [s for s in spans if s[0] <= m.start() <= s[1]]
-            out.append(("call", m[1], None, inside[-1][2] if inside else None, line(m.start()), None))
-    for m in _ROUTE.finditer(text):
-        if "${" in m[3]:
-            continue
-        end, depth = m.end(), 1
-        while end < len(code) and depth:
-            depth += {"(": 1, ")": -1}.get(code[end], 0)
-            end += 1
-        last = code[m.end() : end - 1].split(",")[-1].strip()
-        out.append(("route", last if re.fullmatch(r"[\w$.]+", last) else None, f"{m[1].upper()} {m[3]}", "express", line(m.start()), None))
-    return out
-
-
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     warnings.simplefilter("ignore")
     for batch in batches:
@@ -179,8 +92,8 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def analyse(files: DataFrame) -> DataFrame:
     """Rows of the supported files in (repository_id, path, content); a text stored twice for a file counts once.
 
-    No text is shuffled: every copy is parsed where it lies, and of the rows,
-    numbered within their text, those of one copy are kept.
+    Every copy is parsed, and of the rows, numbered within their text, those of
+    one copy are kept; texts are shuffled only where a scan has too few splits.
     """
     kept = files.select("repository_id", "path", "content").where(F.lower("path").rlike(r"\.(py|js|jsx|ts|tsx)$") & F.col("content").isNotNull())
-    return kept.mapInArrow(_batches, SCHEMA + ", seq int").distinct().drop("seq")
+    return spread(kept, "repository_id", "path").mapInArrow(_batches, SCHEMA + ", seq int").distinct().drop("seq")
