@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -215,6 +216,17 @@ def _parts(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield part
 
 
+_built: tuple[str, Index] | None = None
+
+
+def _index(key: str, shared) -> Index:
+    """The index of the items under this key, made once for each worker process and not for each task."""
+    global _built
+    if _built is None or _built[0] != key:
+        _built = (key, Index(shared.value))
+    return _built[1]
+
+
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct (doc_id, item_id) that share RUN consecutive words."""
     spark = documents.sparkSession
@@ -223,8 +235,8 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     for part in _parts(items):
         shared = spark.sparkContext.broadcast(part)
 
-        def batches(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+        def batches(rows: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = _index(key, shared)
             for batch in rows:
                 docs, hits = [], []
                 for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):

@@ -14,6 +14,7 @@ Defined results
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -115,12 +116,25 @@ def encoder(ranks: dict[bytes, int]) -> Callable[[str | None], list[int]]:
     return lambda text: list(chain.from_iterable(map(known.__getitem__, split(text)))) if text else []
 
 
+_made: tuple[str, Callable[[str | None], list[int]]] | None = None
+
+
+def _encoder(key: str, shared) -> Callable[[str | None], list[int]]:
+    """The encoder under this key; a worker process makes it once and keeps the pieces it has met from task to task."""
+    global _made
+    if _made is None or _made[0] != key:
+        _made = (key, encoder(shared.value))
+    return _made[1]
+
+
 def token_ids(documents: DataFrame, ranks_path: str = RANKS) -> DataFrame:
     """(doc_id, ids) of each row; the rank table has one row for each token of the vocabulary and is broadcast."""
     shared = documents.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
+    key = uuid.uuid4().hex
+
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(shared.value)
+        encode = _encoder(key, shared)
         for batch in parts:
             ids = [encode(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
