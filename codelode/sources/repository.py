@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelode.functions import constants as K
 from codelode.functions import predicates as P
 from codelode.functions import text as X
 
@@ -32,16 +33,38 @@ def metadata(files: DataFrame) -> DataFrame:
     )
 
 
-def scan(spark: SparkSession, root: str, repository_id: str, max_files: int | None = None) -> DataFrame:
-    """(repository_id, path, content) of a tree: ignored directories and binary files are not read into text."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def _folders(spark: SparkSession, root: str) -> list[str]:
+    """The folders of a tree that a scan enters; only names are listed, and nothing below an ignored folder."""
+    jvm = spark.sparkContext._jvm
+    start = jvm.org.apache.hadoop.fs.Path(root)
+    fs = start.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out, open_ = [], [start]
+    while open_:
+        here = open_.pop()
+        out.append(here.toString())
+        open_ += [s.getPath() for s in fs.listStatus(here) if s.isDirectory() and s.getPath().getName() not in K.IGNORED_DIRECTORIES]
+    return sorted(out)
+
+
+def scan(spark: SparkSession, root: str, repository_id: str, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """(repository_id, path, content) of a tree: ignored folders are not entered, binary files not read into text.
+
+    More files, or more bytes in them, than allowed are an error; both are known
+    before a file is read.
+    """
+    folders = _folders(spark, root)
+    raw = spark.read.format("binaryFile").load(folders)
     base = root.rstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + base.removeprefix("file://").replace(".", r"\.") + "/", "")
-    rows = raw.select(path.alias("path"), "content").where(~P.is_ignored(F.col("path")) & ~P.is_binary(F.col("path")))
-    out = rows.select(F.lit(repository_id).alias("repository_id"), "path", F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
-    if max_files is not None and out.select("path").limit(max_files + 1).count() > max_files:
-        raise ValueError(f"more than {max_files} files")
-    return out
+    kept = raw.withColumn("path", path).where(~P.is_ignored(F.col("path")) & ~P.is_binary(F.col("path")))
+    if max_files is not None or max_bytes is not None:
+        # names and lengths only: no content is asked for
+        n, size = kept.agg(F.count(F.lit(1)), F.sum("length")).first()
+        if max_files is not None and n > max_files:
+            raise ValueError(f"more than {max_files} files")
+        if max_bytes is not None and (size or 0) > max_bytes:
+            raise ValueError(f"more than {max_bytes} bytes")
+    return kept.select(F.lit(repository_id).alias("repository_id"), "path", F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

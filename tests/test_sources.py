@@ -1,6 +1,8 @@
 import io
 import zipfile
 
+import pytest
+
 from codelode.sources import ci, gitlog, reports, repository, sinks, source_code
 from codelode.streaming import ingest
 
@@ -68,6 +70,11 @@ def test_archive_and_scan(spark, rows, tmp_path):
         p.write_text("x = 1\n")
     tree = repository.scan(spark, str(tmp_path), "r")
     assert rows(repository.metadata(tree), "path", "language", "lines") == [("src/a.py", "Python", 1)]
+    assert [f.rsplit("/", 1)[-1] for f in repository._folders(spark, str(tmp_path))] == [tmp_path.name, "src"]
+    assert rows(repository.scan(spark, str(tmp_path), "r", max_files=1, max_bytes=6), "path") == [("src/a.py",)]
+    for bound in ({"max_files": 0}, {"max_bytes": 5}):
+        with pytest.raises(ValueError):
+            repository.scan(spark, str(tmp_path), "r", **bound)
 
 
 def test_ci(spark, rows):
