@@ -79,6 +79,14 @@ def _cycles(u: Staged, n: int) -> DataFrame:
     return a.join(b, F.col("a.ptr") == F.col("b.id")).select("a.id", F.col("b.low").alias("cycle_id"))
 
 
+def _known_parents(nodes: DataFrame) -> DataFrame:
+    """The nodes, those whose parent is not among them without pointer."""
+    there = nodes.select(F.col("id").alias("key"), F.lit(True).alias("there"))
+    # the many nodes without a parent look for themselves, so they do not meet in one task
+    keyed = nodes.withColumn("key", F.coalesce("ptr", "id"))
+    return keyed.join(there, "key", "left").withColumn("ptr", F.when(F.col("there"), F.col("ptr"))).drop("key", "there")
+
+
 def _chains(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     """(id, ids) of the resolved nodes: the ids from the root down.
 
@@ -86,10 +94,9 @@ def _chains(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     resolves becomes another part of the result.
     """
     start = _nodes(df, id_col, parent_col)
-    there = start.select(F.col("id").alias("ptr"), F.lit(True).alias("there"))
     # parents that are not in the table end the chain before the rounds begin, so these are inner joins,
     # in which the few open nodes of late rounds are broadcast if they are small
-    nodes = start.join(there, "ptr", "left").withColumn("ptr", F.when(F.col("there"), F.col("ptr")))
+    nodes = _known_parents(start)
     n_open = F.count_if(F.expr(OPEN))
     s = stage(nodes.select("id", "ptr", F.array("id").alias("ids")), n=n_open)
     parts, open_, left = [s], s.df.where(OPEN), s.seen["n"]
@@ -111,11 +118,13 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, name_col: str, separa
 
     A node carries the path and the distance to its pointer, and how many nodes
     lie less than a jump below it.  In each round every open node adds that
-    number to its pointer, which so learns of those up to two jumps below.
+    number to its pointer, which so learns of those up to two jumps below.  A
+    node that is pointed at in one round was so in the round before (by the
+    pointer of who points at it now), so what a round joins with shrinks along
+    with the open nodes.
     """
     start = _nodes(df, id_col, parent_col, F.coalesce(F.col(name_col), F.lit("")).alias("name"))
-    there = start.select(F.col("id").alias("ptr"), F.lit(True).alias("there"))
-    nodes = start.join(there, "ptr", "left").withColumn("ptr", F.when(F.col("there"), F.col("ptr")))
+    nodes = _known_parents(start)
     is_open, one = F.expr(OPEN), F.lit(1).cast("long")
     s = stage(
         nodes.select(
@@ -124,13 +133,16 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, name_col: str, separa
         ),
         left=F.count_if(is_open),
     )
+    done, shown = f"not ({OPEN})", ["id", "ptr", "path", "depth", "root_id"]
     parts, passed, open_, left = [s], [], s.df.where(OPEN), s.seen["left"]
+    ends = s.df.where(done).select(*shown)
     while left:
         # what lies below each pointer, one row a pointer
         below = stage(open_.groupBy(F.col("ptr").alias("id")).agg(F.sum("n").alias("more")))
         passed.append(below)
-        known = Staged.together(parts).where(f"not ({OPEN})").unionByName(open_)
-        a, b = open_.join(below.df, "id", "left").alias("a"), known.drop("n").alias("b")
+        # resolved nodes that some open one points at
+        held = stage(ends.join(below.df.select("id"), "id", "left_semi"))
+        a, b = open_.join(below.df, "id", "left").alias("a"), held.df.unionByName(open_.select(*shown)).alias("b")
         joined = a.join(b, F.col("a.ptr") == F.col("b.id"))
         jumped = stage(
             joined.select(
@@ -141,6 +153,7 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, name_col: str, separa
         )
         parts.append(jumped)
         open_, now = jumped.df.where(OPEN), jumped.seen["left"]
+        ends = held.df.unionByName(jumped.df.where(done).select(*shown))
         if now == left:
             break
         left = now
