@@ -135,13 +135,16 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, name_col: str, separa
     )
     done, shown = f"not ({OPEN})", ["id", "ptr", "path", "depth", "root_id"]
     parts, passed, open_, left = [s], [], s.df.where(OPEN), s.seen["left"]
-    ends = s.df.where(done).select(*shown)
+    ends, before = s.df.where(done).select(*shown), None
     while left:
         # what lies below each pointer, one row a pointer
         below = stage(open_.groupBy(F.col("ptr").alias("id")).agg(F.sum("n").alias("more")))
         passed.append(below)
         # resolved nodes that some open one points at
         held = stage(ends.join(below.df.select("id"), "id", "left_semi"))
+        if before is not None:
+            before.drop()
+        before = held
         a, b = open_.join(below.df, "id", "left").alias("a"), held.df.unionByName(open_.select(*shown)).alias("b")
         joined = a.join(b, F.col("a.ptr") == F.col("b.id"))
         jumped = stage(
