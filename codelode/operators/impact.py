@@ -90,7 +90,7 @@ def bounded(seeds: DataFrame, calls: DataFrame, depth: int = 3, most_nodes: int
 
 
 def change_set_dependencies(changed: DataFrame, calls: DataFrame, symbols: DataFrame, by: str, most: int = NODES) -> DataFrame:
-    """(by, kind, n, truncated): distinct callers, callees and their files of the public symbols each change set touches."""
+    """(by, kind, n, truncated): distinct callers, callees and their files of the public symbols each change set touches; a kind without any gives no row."""
     public = symbols.where(P.is_public_symbol(F.col("name"), F.col("symbol_type"))).select("id", "path")
     own = changed.select(by, "path").distinct().join(public, "path").select(by, "id")
     near = own.join(calls.withColumnRenamed("dst", "id"), "id").select(by, F.lit("callers").alias("kind"), F.col("src").alias("node")).unionByName(

@@ -167,7 +167,7 @@ def dependency_impact(spark, folder):
 
 SQL["dependency_impact"] = (
     f"WITH {CTE['e']}, {_PS}, o AS (SELECT id FROM ps WHERE path = '{PATH}' AND {_PUBLIC}), n AS (SELECT DISTINCT 'callers' AS kind, src AS node FROM e WHERE dst IN (SELECT id FROM o) UNION SELECT DISTINCT 'callees', dst FROM e WHERE src IN (SELECT id FROM o)), "
-    "c AS (SELECT kind, count(*) AS n FROM n GROUP BY 1 UNION ALL SELECT 'files', count(DISTINCT path) FROM ps WHERE id IN (SELECT node FROM n)) "
+    "c AS (SELECT kind, count(*) AS n FROM n GROUP BY 1 UNION ALL SELECT 'files', count(DISTINCT path) FROM ps WHERE id IN (SELECT node FROM n) HAVING count(*) > 0) "
     f"SELECT '{PATH}' AS change_set, kind, least(n, 500)::BIGINT AS n, n >= 500 AS truncated FROM c"
 )
 
