@@ -8,14 +8,20 @@ the levels of a traversal, for all seeds at once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import predicates as P
 from codelode.operators import change, graph
 from codelode.operators.ordering import top_of
+from codelode.staging import Staged, spread, stage
 
 NODES, EDGES = 500, 1000
+# Most rows of a change set that go into one list, and most files of workflows in one broadcast.
+MOST_TOGETHER, MOST_LOADED = 1000, 500_000
 
 
 def _rows(df: DataFrame, relation: str, seed: str, target: str) -> DataFrame:
@@ -116,16 +122,101 @@ def endpoint_workflow(endpoints: DataFrame, calls: DataFrame, depth: int = 5, mo
     return start.unionByName(inner), handles.unionByName(called)
 
 
+def _bit(number: Column) -> Column:
+    """One of 64 bits for each number; lists whose bits do not meet share no number."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(number).bitwiseAND(F.lit(63)).cast("int"))
+
+
+class Flows(NamedTuple):
+    """Workflows by the files they lie in.
+
+    ``df`` has a row for each route and file (id) that declares it: ``own``
+    counts its symbols in that file, ``far0``, ``far1`` ... list the other files
+    whose counts have that binary digit, ``bits`` are those of all these files,
+    and ``shared`` marks routes of several files.  ``known`` numbers the paths.
+    """
+
+    df: DataFrame
+    known: DataFrame
+    digits: int
+    blocks: int
+    shared: bool
+
+
+def _flows(endpoints: DataFrame, nodes: DataFrame, symbols: DataFrame) -> Flows:
+    where = symbols.select(F.col("id").alias("node"), F.col("path").alias("other"))
+    # the files of each workflow first: a change set meets files, not symbols
+    counted = nodes.join(where, "node").groupBy("seed", "other").agg(F.count(F.lit(1)).alias("n"))
+    ends = endpoints.select("method", "route", F.col("symbol_id").alias("seed"), F.col("file_path").alias("path")).where("path is not null")
+    links = stage(ends.join(counted, "seed", "left").groupBy("method", "route", "path", "other").agg(F.sum("n").alias("n")), most=F.max("n"))
+    paths = links.df.select("path").unionByName(links.df.select(F.col("other").alias("path"))).where("path is not null").distinct()
+    known = stage(paths.withColumn("id", F.monotonically_increasing_id())).df
+    numbered = links.df.join(known, "path").join(known.select(F.col("path").alias("other"), F.col("id").alias("at")), "other", "left")
+    digits, far, zero = (links.seen["most"] or 0).bit_length(), F.col("at") != F.col("id"), F.lit(0).cast("long")
+    rows = numbered.groupBy("method", "route", "id").agg(
+        F.coalesce(F.sum(F.when(F.col("at") == F.col("id"), F.col("n"))), zero).alias("own"),
+        F.coalesce(F.bit_or(F.when(far, _bit(F.col("at")))), zero).alias("bits"), F.count(F.lit(1)).alias("files"),
+        *[F.collect_list(F.when(far & (F.col("n").bitwiseAND(F.lit(1 << k)) != 0), F.col("at"))).alias(f"far{k}") for k in range(digits)],
+    )
+    several = F.count(F.lit(1)).over(Window.partitionBy("method", "route")) > 1
+    t = stage(rows.withColumn("shared", several), files=F.sum("files"), shared=F.count_if("shared"))
+    return Flows(t.df.drop("files"), known, digits, max(1, -(-(t.seen["files"] or 0) // MOST_LOADED)), t.seen["shared"] > 0)
+
+
+def _files_of_sets(changed: DataFrame, known: DataFrame, by: str) -> Staged:
+    """(by, wide, files, set_bits): the numbered files of each change set; one of more than MOST_TOGETHER rows is wide, its list is not whole."""
+    each = Window.partitionBy(by)
+    rows = changed.select(by, "path").join(known, "path").select(by, "id").repartition(by)
+    lists = rows.select(by, "id", F.row_number().over(each.orderBy(by)).alias("k")).select(
+        by, "k", (F.max("k").over(each) > MOST_TOGETHER).alias("wide"),
+        F.collect_set(F.when(F.col("k") <= MOST_TOGETHER, F.col("id"))).over(each).alias("files"), F.bit_or(_bit(F.col("id"))).over(each).alias("set_bits"),
+    )
+    return stage(lists.where("k = 1").drop("k"), wide=F.count_if("wide"))
+
+
+def _met(sets: DataFrame, flows: Flows, shared: bool, by: str) -> DataFrame:
+    """Each set with the routes of its files; lists are compared only where their bits meet."""
+    rows = sets.select(by, "files", "set_bits", F.explode("files").alias("id"))
+    own, far = F.col("own"), [F.size(F.array_intersect("files", f"far{k}")).cast("long") * (1 << k) for k in range(flows.digits)]
+    # a set without a name meets nothing
+    met = F.when(F.col(by).isNull(), 0).when(F.col("set_bits").bitwiseAND(F.col("bits")) == 0, own).otherwise(reduce(Column.__add__, far, own))
+    some, block = flows.df.where(F.col("shared") == shared), F.pmod(F.xxhash64("method", "route"), F.lit(flows.blocks))
+    hit = [rows.join(F.broadcast(some.where(block == k)), "id").select(by, "method", "route", met.alias("n_changed")) for k in range(flows.blocks)]
+    return reduce(DataFrame.unionByName, hit)
+
+
+def _met_by_joins(changed: DataFrame, wide: DataFrame, flows: Flows, by: str) -> DataFrame:
+    """As ``_met`` for wide sets, in rows still to be summed."""
+    names = wide.select(F.col(by).alias("name"))
+    rows = changed.select(by, "path").join(flows.known, "path").select(by, "id").distinct()
+    files = stage(rows.join(names, rows[by].eqNullSafe(names["name"]), "left_semi")).df
+    hit = files.join(flows.df, "id")
+    parts = [hit.select(by, "method", "route", F.when(F.col(by).isNull(), 0).otherwise(F.col("own")).alias("n_changed"))]
+    for k in range(flows.digits):
+        far = hit.select(by, "method", "route", F.explode(f"far{k}").alias("id")).join(files, [by, "id"], "left_semi")
+        parts.append(far.select(by, "method", "route", F.lit(1 << k).cast("long").alias("n_changed")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def affected_workflows(endpoints: DataFrame, calls: DataFrame, symbols: DataFrame, changed: DataFrame, by: str, depth: int = 3) -> DataFrame:
-    """(by, method, route, n_changed): workflows of endpoints in changed files, with the symbols in them that changed."""
+    """(by, method, route, n_changed): workflows of endpoints in changed files, with the symbols in them that changed.
+
+    There is a row for each change set and endpoint in its files, far more than
+    rows read, so these are not shuffled: each set brings the list of its files
+    to the endpoints, which are broadcast block by block.  Only wide sets and
+    routes of several files are joined and summed.
+    """
     nodes = graph.reach(endpoints.select(F.col("symbol_id").alias("seed")).distinct(), calls, depth)
-    paths = changed.select(by, "path").distinct()
-    hit = paths.join(endpoints.select("method", "route", F.col("symbol_id").alias("seed"), F.col("file_path").alias("path")), "path").select(by, "method", "route", "seed")
-    where = symbols.select(F.col("id").alias("node"), "path")
-    # the files of each workflow first: a change set meets files, not symbols
-    counted = nodes.join(where, "node").groupBy("seed", "path").agg(F.count(F.lit(1)).alias("n"))
-    met = hit.join(counted, "seed").join(paths, [by, "path"], "left_semi").groupBy(by, "method", "route").agg(F.sum("n").alias("n_changed"))
-    return hit.select(by, "method", "route").distinct().join(met, [by, "method", "route"], "left").select(by, "method", "route", F.coalesce("n_changed", F.lit(0).cast("long")).alias("n_changed"))
+    flows = _flows(endpoints, nodes, symbols)
+    sets = _files_of_sets(changed, flows.known, by)
+    narrow = spread(sets.df, by).where("not wide")
+    found = _met(narrow, flows, False, by)
+    summed = [_met(narrow, flows, True, by)] if flows.shared else []
+    if sets.seen["wide"]:
+        summed.append(_met_by_joins(changed, sets.df.where("wide"), flows, by))
+    if summed:
+        found = found.unionByName(reduce(DataFrame.unionByName, summed).groupBy(by, "method", "route").agg(F.sum("n_changed").alias("n_changed")))
+    return found
 
 
 def change_facts(changed: DataFrame, symbols: DataFrame, endpoints: DataFrame, by: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Impact, correlation and evidence on small tables with known answers."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from codelode.operators import correlation as C
@@ -41,6 +42,50 @@ def test_endpoints_and_workflows(spark, rows):
     assert rows(impact.bounded(spark.createDataFrame([(1,)], "seed long"), calls, 3, 2, 99)) == [(1, 2, 5, "max_nodes_reached")]
 
 
+def flows_of(ends, calls, s, changed, depth=1):
+    """As affected_workflows is defined: row by row."""
+    below = {e: {n for n in [e, *(d for c, d in calls if c == e)] if n} for e in {x[0] for x in ends}}
+    path = dict(s)
+    files = {}
+    for c, p in changed:
+        files.setdefault(c, set()).add(p)
+    out = {}
+    for c, of in files.items():
+        for e, method, route, p in ends:
+            if p is not None and p in of:
+                n = sum(path.get(x) in of for x in below[e]) if c is not None else 0
+                out[c, method, route] = out.get((c, method, route), 0) + n
+    return sorted(((*k, n) for k, n in out.items()), key=repr)
+
+
+@pytest.mark.parametrize(("together", "loaded"), [(1000, 500_000), (4, 20)])
+def test_affected_workflows_however_they_are_cut(spark, rows, monkeypatch, together, loaded):
+    """Wide sets, several broadcasts, routes of several files, sets without name, endpoints without symbol or elsewhere than it."""
+    monkeypatch.setattr(impact, "MOST_TOGETHER", together)
+    monkeypatch.setattr(impact, "MOST_LOADED", loaded)
+    s = [(i, f"f{i % 7}.py") for i in range(1, 40)]
+    calls = sorted({(i, i * k % 41) for i in range(1, 40) for k in (3, 8, 10, 15, 17, 24) if i != i * k % 41})
+    ends = [(i, "GET", f"/{i}", f"f{i % 7}.py") for i in range(1, 12)] + [(12, "GET", "/1", "f5.py"), (15, "GET", "/1", "f1.py"), (None, "PUT", "/n", "f2.py"), (4, "PUT", None, "f6.py"), (5, "PUT", "/none", None)]
+    changed = [(f"c{c}", f"f{p}.py") for c in range(6) for p in range(9) if (p * p + c) % 5 < c] * 2 + [(None, "f1.py"), (None, "f2.py"), ("c1", None)]
+    frames = spark.createDataFrame(ends, "symbol_id long, method string, route string, file_path string"), spark.createDataFrame(calls, "src long, dst long")
+    symbols = spark.createDataFrame([(i, "n", p, "function") for i, p in s], "id long, name string, path string, symbol_type string")
+    expected = flows_of(ends, calls, s, changed)
+    assert len(expected) > 30 and max(r[-1] for r in expected) > 3
+    assert rows(impact.affected_workflows(*frames, symbols, spark.createDataFrame(changed, "commit string, path string"), "commit", 1)) == expected
+
+
+def test_affected_workflows_do_not_shuffle_their_rows(spark):
+    """Many sets times many endpoints: what is written for it stays in proportion to the tables."""
+    ends = spark.range(400).select(F.col("id").alias("symbol_id"), F.lit("GET").alias("method"), F.col("id").cast("string").alias("route"), F.lit("a.py").alias("file_path"))
+    symbols = spark.range(400).select("id", F.lit("n").alias("name"), F.lit("a.py").alias("path"), F.lit("function").alias("symbol_type"))
+    changed = spark.range(2000).select(F.col("id").alias("commit"), F.lit("a.py").alias("path"))
+    found = impact.affected_workflows(ends, spark.createDataFrame([(1, 2)], "src long, dst long"), symbols, changed, "commit", 1)
+    assert found.groupBy("n_changed").count().orderBy("n_changed").collect() == [(1, 399 * 2000), (2, 2000)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("Generate")]
+    assert "Exchange" not in top and "Aggregate" not in top and "BroadcastHashJoin" in top
+
+
 def test_change_sets(spark, rows):
     s, calls, ends = world(spark)
     changed = spark.createDataFrame([("c", "x.py", 3, 1, "Python"), ("d", "docs/readme.md", 1, None, None)], "commit string, path string, additions int, deletions int, language string")
